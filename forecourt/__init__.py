@@ -1 +1 @@
-
+"""Analytics over messy vehicle listings: bronze batches, checked and merged silver tables, gold statistics."""
