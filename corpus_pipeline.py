@@ -32,8 +32,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = sharding.shard(docs, shards=8)
-    shard, slot = fresh(docs, "shard", "slot")
-    return out.select(*(out[c] for c in docs.columns), F.col("_shard").alias(shard), F.col("_slot").alias(slot))
+    found = fresh(docs, *sharding.ADDED)[2:]
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns), *(F.col(f).alias(n) for f, n in zip(found, fresh(docs, "shard", "slot"), strict=True)))
 
 
 STAGES = [

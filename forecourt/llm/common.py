@@ -30,17 +30,34 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/forecourt/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: Files of an intermediate table for each of the cluster's task slots, at most.
+FILES_PER_SLOT = 4
+
+
+def written(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     """The rows of df, written once to the shared folder and read back.
 
     Cuts lineage so that a lost executor never repeats the work above, and gives
-    the optimizer the table's real size, by which it chooses how to join.
+    the optimizer the table's real size, by which it chooses how to join. Neighbouring
+    partitions are written into one file where there are many more of them than task
+    slots; a table of a few rows takes one file.
     """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.coalesce(files or FILES_PER_SLOT * df.sparkSession.sparkContext.defaultParallelism).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows that go to Python at once: texts can be long, and both sides hold whole batches.
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches, if they are larger, for plans that pass texts to Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

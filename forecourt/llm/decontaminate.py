@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8, written
+from .common import small_batches, utf8, written
 
 #: Shortest run of words that counts as a match.
 MATCH = 5
@@ -177,11 +177,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least: int = MATCH, cov
     repeated items (same id and text) count once. Empty tables give an empty result.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     own = benchmark.select(F.col("item_id").cast("long"), utf8("text").alias("text")).where("text is not null").distinct()
     # Items are dealt to blocks by hash; a block's words, and so its bytes, are bounded by the longest text besides.
     n = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-n // (6 * block_words)))
-    own = written(own.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks))), "items")
+    own = written(own.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks))), "items", files=1)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id long, covered long, words long, tiles array<struct<doc_at long, item_at long, words long>>"
     source, found = docs.select("doc_id", utf8("text").alias("text")), None
@@ -206,6 +207,7 @@ def _keep(shared):
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = MATCH, coverage: float = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of docs, all columns as they are, in which no item is found."""
+    small_batches(docs.sparkSession)
     own = benchmark.select(F.col("item_id").cast("long"), utf8("text").alias("text")).where("text is not null").distinct()
     n = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-n // (6 * block_words)))

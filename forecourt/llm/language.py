@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder3, written
+from .common import remainder3, small_batches, written
 from .ftrl import Ftrl, softmax, temperature
 
 SIZE = 1 << 15
@@ -117,6 +117,7 @@ class Model:
 
 def fit(docs: DataFrame, learn=None, max_rows: int = MAX_ROWS, epochs: int = 3) -> Model:
     """A model of docs (doc_id, text, lang) over the rows where `learn` holds (default: crc32 of doc_id modulo 3 is not 1) and lang is not null."""
+    small_batches(docs.sparkSession)
     learn = remainder3() != 1 if learn is None else learn
     rows = docs.where(F.col("lang").isNotNull() & learn).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     found = rows.select("text").mapInArrow(_frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # one row a bucket
@@ -127,7 +128,7 @@ def fit(docs: DataFrame, learn=None, max_rows: int = MAX_ROWS, epochs: int = 3)
         return Model([], np.zeros((SIZE, 0), np.float32), np.zeros(0), 1.0)
     # By hash, about max_rows a language; the limit to exactly as many then sorts few rows.
     order = F.xxhash64("doc_id", "text").alias("place")
-    sizes = written(rows.groupBy("lang").count(), "languages")
+    sizes = written(rows.groupBy("lang").count(), "languages", files=1)
     share = F.least(F.lit(1.0), F.lit(1.3 * max_rows + 50) / F.col("count"))
     near = rows.withColumn("place", order).join(sizes, "lang").where(F.shiftrightunsigned("place", 1) / F.lit(2.0**63) < share)
     from pyspark.sql import Window
@@ -154,7 +155,7 @@ def fit(docs: DataFrame, learn=None, max_rows: int = MAX_ROWS, epochs: int = 3)
 
 def _predict(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, model = Grams(), shared.value
+        grams, model = Grams(), Model(*shared.value)
         for batch in batches:
             out = [model.score(grams, t.as_py()) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
@@ -169,7 +170,8 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     or have no letter get `und` and 0, as does everything if nothing can be learnt.
     Rows with null ids take no part in held-out rows. Repeated rows are scored each.
     """
+    small_batches(docs.sparkSession)
     model = model or fit(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.names, model.weights, model.bias, model.heat))
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", (remainder3() == 1).alias("held_out"), "text").mapInArrow(_predict(shared), f"doc_id {kind}, held_out boolean, lang_pred string, score double")

@@ -22,6 +22,7 @@ SLOTS = 1 << 16
 GOLDEN = (5**0.5 - 1) / 2
 #: Sources that may be told apart; their totals are the only thing the driver gathers.
 MAX_SOURCES = 1_000_000
+ADDED = ("_size", "_source_size", "_target", "_taken", "_slots")
 
 
 def targets(sizes: list[int], weights: list[float], share: float, cap: float) -> list[float]:
@@ -46,8 +47,8 @@ def word_count(col) -> object:
     return F.coalesce(F.regexp_count(col, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 17, slots: int = SLOTS) -> DataFrame:
-    """docs with _size, _source_size, _target, _taken, _slots added, all other columns as they are.
+def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 17, slots: int = SLOTS, carry: list[str] | None = None) -> DataFrame:
+    """docs with _size, _source_size, _target, _taken, _slots added; other columns as they are, or only those of `carry`, doc_id and source among them.
 
     docs needs doc_id, text and source. Sources, in order of code points and null
     last, weigh as `weights` says, repeating. _taken is how many of the row's words the
@@ -55,14 +56,16 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0
     scheduled. _slots are the slots in which the row's first word is scheduled: where
     the mix emits the whole row. The same rows give the same mix. Rows without words
     take part with size 0 (_slots as for their place); repeated rows are rows of their
-    own, in either order; an empty table gives an empty result.
+    own, in either order; an empty table gives an empty result. Added names get further
+    underscores where docs has them already.
     """
     spark = docs.sparkSession
-    kept = docs.columns
+    kept = carry or docs.columns
     names = fresh(docs, *(f"_c{i}" for i in range(len(kept))))
     of = dict(zip(kept, names, strict=True))
-    own = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in of.items()), word_count(docs["text"]).alias("_size"))
-    found = written(own.groupBy(F.col(of["source"]).alias("_name")).agg(F.sum("_size").alias("_n")), "sources")
+    crc = F.crc32(F.coalesce(docs["text"].cast("binary"), F.lit(b"")))
+    own = docs.select(*(docs[f"`{c}`"].alias(n) for c, n in of.items()), word_count(docs["text"]).alias("_size"), crc.alias("_text"))
+    found = written(own.groupBy(F.col(of["source"]).alias("_name")).agg(F.sum("_size").alias("_n")), "sources", files=1)
     if found.count() > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     rows = sorted(found.collect(), key=lambda r: (r[0] is None, (r[0] or "").encode("utf-32-be", "surrogatepass")))
@@ -77,28 +80,29 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0
     bounds = np.cumsum(goals) / sum(goals) if used else np.ones(1)
     at = np.searchsorted(bounds, (np.arange(used) + 0.5) * GOLDEN % 1, side="right")
     at = np.minimum(at, max(len(rows) - 1, 0))
-    plan = written(spark.createDataFrame(list(enumerate(map(int, at))), "_slot long, _id long"), "schedule")
+    plan = written(spark.createDataFrame(list(enumerate(map(int, at))), "_slot long, _id long"), "schedule", files=1)
     rank = plan.withColumn("_turn", F.row_number().over(Window.partitionBy("_id").orderBy("_slot")) - 1)
     # No block is taken more often than the cap allows.
     taken = rank.join(sources, "_id").where(F.col("_turn") < F.col("_blocks") * int(cap))
-    taken = written(taken.select("_id", (F.col("_turn") % F.col("_blocks")).alias("_block"), "_slot"), "taken")
+    taken = written(taken.select("_id", (F.col("_turn") % F.col("_blocks")).alias("_block"), "_slot"), "taken", files=1)
     turns = taken.groupBy("_id").agg(F.count("*").alias("_turns"))
-    sources = written(sources.join(turns, "_id", "left").withColumn("_turns", F.coalesce("_turns", F.lit(0))), "targets")
+    sources = written(sources.join(turns, "_id", "left").withColumn("_turns", F.coalesce("_turns", F.lit(0))), "targets", files=1)
     block_slots = taken.groupBy(F.col("_id").alias("_of"), F.col("_block").alias("_nth")).agg(F.sort_array(F.collect_list("_slot")).alias("_slots"))
 
     # At most MAX_SOURCES rows and SLOTS rows: both are broadcast.
     joined = own.join(F.broadcast(sources), F.col(of["source"]).eqNullSafe(F.col("_name"))).drop("_name")
-    order = [F.xxhash64(F.col(of["doc_id"]), F.lit(seed)), F.col(of["doc_id"]), F.crc32(F.coalesce(F.col(of["text"]).cast("binary"), F.lit(b"")))]
+    order = [F.xxhash64(F.col(of["doc_id"]), F.lit(seed)), F.col(of["doc_id"]), F.col("_text")]
     placed = running_sums(joined, order, "_size", "_id")
     full = F.expr("_turns div greatest(_blocks, 1)")
     rest = F.expr("_turns % greatest(_blocks, 1)") * block
     part = F.greatest(F.lit(0), F.least(F.col("_start") + F.col("_size"), rest) - F.least(F.col("_start"), rest))
     out = placed.withColumn("_taken", full * F.col("_size") + part).withColumn("_first", F.expr(f"least(_start div {block}, greatest(_blocks - 1, 0))"))
     out = out.join(F.broadcast(block_slots), (F.col("_id") == F.col("_of")) & (F.col("_first") == F.col("_nth")), "left")
-    return out.select(*(F.col(n).alias(c) for c, n in of.items()), "_size", "_source_size", "_target", "_taken", F.coalesce("_slots", F.array().cast("array<long>")).alias("_slots"))
+    out = out.withColumn("_slots", F.coalesce("_slots", F.array().cast("array<long>")))
+    return out.select(*(F.col(n).alias(c) for c, n in of.items()), *(F.col(x).alias(n) for n, x in zip(fresh(docs, *ADDED), ADDED, strict=True)))
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The rows of the mix, each once for every slot in which its first word is scheduled, columns as in docs."""
-    out = mix(docs, **options)
-    return out.withColumn("_slots", F.explode("_slots")).select(*(out[c] for c in docs.columns))
+    out, slots = mix(docs, **options), fresh(docs, *ADDED)[-1]
+    return out.withColumn(slots, F.explode(slots)).select(*(F.col(f"`{c}`") for c in docs.columns))

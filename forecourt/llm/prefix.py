@@ -6,17 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from .common import partitions, written
+from .common import partitions, small_batches, written
 
 
 def _local_sums(group_at: int | None, size_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, last, before, seen = TaskContext.get().partitionId(), None, 0, 0
+        last, before, seen = None, 0, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -37,8 +36,8 @@ def _local_sums(group_at: int | None, size_at: int):
                 start[head] += before
                 rank[head] += seen
             before, seen = int(start[-1] + size[-1]), int(rank[-1] + 1)
-            own = [pa.array(np.full(len(size), part, np.int64)), pa.array(start.astype(np.int64)), pa.array(rank.astype(np.int64))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *own], [*batch.schema.names, "_part", "_start", "_rank"])
+            own = [pa.array(start.astype(np.int64)), pa.array(rank.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *own], [*batch.schema.names, "_start", "_rank"])
 
     return run
 
@@ -53,10 +52,11 @@ def running_sums(df: DataFrame, order: list, size: str, group: str | None = None
     every later step sees the same ranges.
     """
     spark = df.sparkSession
+    small_batches(spark)
     keys = [F.col(group), *order] if group else order
-    ranged = df.repartitionByRange(partitions(spark), *keys).sortWithinPartitions(*keys)
-    schema = StructType(list(df.schema.fields))
-    for name in ("_part", "_start", "_rank"):
+    ranged = df.repartitionByRange(partitions(spark), *keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id().cast("long"))
+    schema = StructType(list(ranged.schema.fields))
+    for name in ("_start", "_rank"):
         schema = schema.add(name, LongType())
     sums = written(ranged.mapInArrow(_local_sums(df.columns.index(group) if group else None, df.columns.index(size)), schema), "ranges")
     by = [*([F.col(group).alias("_of")] if group else [F.lit(0).cast("long").alias("_of")]), F.col("_part").alias("_at")]
@@ -65,7 +65,7 @@ def running_sums(df: DataFrame, order: list, size: str, group: str | None = None
 
     # One row per range and group: a range holds part of one group, or whole groups between two cut ones.
     before = Window.partitionBy("_of").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = written(totals.select("_of", "_at", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_size_0"), F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_rows_0")).where("_rows_0 > 0"), "offsets")
+    offsets = written(totals.select("_of", "_at", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_size_0"), F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_rows_0")).where("_rows_0 > 0"), "offsets", files=1)
     # Only groups that go on from a range before have a row here: at most one for each range.
     on = (F.col("_at") == F.col("_part")) & (F.col("_of") == (F.col(group) if group else F.lit(0).cast("long")))
     met = sums.join(F.broadcast(offsets), on, "left")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder3, utf8, written
+from .common import remainder3, small_batches, utf8, written
 from .ftrl import Ftrl
 
 BITS = 18
@@ -113,13 +113,14 @@ def fit(docs: DataFrame, labels: DataFrame, learn=None, max_rows: int = MAX_ROWS
     Of each label the `max_rows` ids smallest by hash are used. A repeated id counts
     once, with label 1 if at least half of its labels are 1; null labels are passed over.
     """
+    small_batches(docs.sparkSession)
     learn = remainder3() != 1 if learn is None else learn
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & learn).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
     marked = written(marked, "marked")
     pick = lambda v: marked.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     chosen = pick(0).union(pick(1)).select(F.col("doc_id").alias("chosen_id"), "label")
     # At most 2 * max_rows ids: their number is bounded, so they are broadcast.
-    texts = docs.join(F.broadcast(chosen), F.col("chosen_id") == docs["doc_id"]).select("label", utf8(docs["text"]).alias("text"))
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("chosen_id") == F.col("doc_id")).select("label", utf8("text").alias("text"))
     # The same bound holds for rows if ids repeat.
     sample = texts.orderBy(F.xxhash64("text"), "label").limit(2 * max_rows).mapInArrow(_sparse, "label int, buckets array<int>, vals array<float>").toArrow()
     rows = [(np.array(sample.column(1)[i].values, np.int64), np.array(sample.column(2)[i].values, np.float64), sample.column(0)[i].as_py()) for i in range(sample.num_rows)]
@@ -132,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn=None, max_rows: int = MAX_ROWS
 
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, model = Features(), shared.value
+        features, model = Features(), Model(*shared.value)
         for batch in batches:
             p = np.array([model.score(features, t.as_py()) for t in batch.column(batch.num_columns - 1)], np.float64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*batch.schema.names[:-1], "score", "predicted"])
@@ -147,8 +148,9 @@ def classify(docs: DataFrame, labels: DataFrame, model: Model | None = None) ->
     texts have no features and get the bias alone. Without labels every score is 0.5.
     Null ids are never held out; repeated rows are scored each.
     """
+    small_batches(docs.sparkSession)
     model = model or fit(docs, labels)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", (remainder3() == 1).alias("held_out"), utf8("text").alias("text"))
     return rows.mapInArrow(_score(shared), f"doc_id {kind}, held_out boolean, score double, predicted int")
@@ -156,7 +158,7 @@ def classify(docs: DataFrame, labels: DataFrame, model: Model | None = None) ->
 
 def _keep(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, model = Features(), shared.value
+        features, model = Features(), Model(*shared.value)
         for batch in batches:
             at = batch.schema.get_field_index("text")
             good = [model.score(features, t.encode() if (t := v.as_py()) else None) >= 0.5 for v in batch.column(at)]
@@ -167,5 +169,6 @@ def _keep(shared):
 
 def keep_good(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
     """The rows of docs, all columns as they are, that the classifier predicts as 1."""
+    small_batches(docs.sparkSession)
     model = model or fit(docs, labels)
-    return docs.mapInArrow(_keep(docs.sparkSession.sparkContext.broadcast(model)), docs.schema)
+    return docs.mapInArrow(_keep(docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))), docs.schema)

@@ -36,14 +36,13 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    # Only the digest columns go through the sort.
-    out = sharding.shard(docs, shards=8)
+    # Texts are measured where they are read; only ids and measures go through the sort.
+    out = sharding.shard(table(spark, sf_dir, "documents"), shards=8, carry=["doc_id"])
     return out.select("doc_id", F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), F.lit("bytes").alias("law"), F.col("_shard").alias("shard"), F.col("_slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    out = mixing.mix(table(spark, sf_dir, "documents"), carry=["doc_id", "source"])
     return out.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"))
 
 

@@ -8,21 +8,23 @@ from pyspark.sql import functions as F
 from .common import fresh, utf8, written
 from .prefix import running_sums
 
+ADDED = ("_size", "_crc", "_shard", "_slot")
 
-def shard(docs: DataFrame, shards: int = 8, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs with _size, _crc, _shard and _slot added, all other columns as they are.
+
+def shard(docs: DataFrame, shards: int = 8, text: str = "text", key: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
+    """docs with _size, _crc, _shard and _slot added; other columns as they are, or only those of `carry`, the key among them.
 
     The order is by (crc32 of the text, key): equal texts are next to each other. A
     row's place is the middle of its bytes (UTF-8 length plus 1; null text: 1) in the
     running sum, and the shards are cut at equal shares of the total; so shards differ
     by one row's size at most from equal. _slot counts rows from 0 within the shard,
-    without gaps. Rows with equal order (repeated rows) may stand in either order. Few
+    without gaps. Added names get further underscores where docs has them already. Rows with equal order (repeated rows) may stand in either order. Few
     rows may leave shards empty; an empty table gives an empty result.
     """
-    kept = docs.columns
+    kept = carry or docs.columns
     names = fresh(docs, *(f"_c{i}" for i in range(len(kept))))
     own = docs.select(
-        *(F.col(f"`{c}`").alias(n) for c, n in zip(kept, names, strict=True)),
+        *(docs[f"`{c}`"].alias(n) for c, n in zip(kept, names, strict=True)),
         (F.coalesce(F.octet_length(utf8(docs[text])), F.lit(0)) + 1).cast("long").alias("_size"),
         F.crc32(F.coalesce(utf8(docs[text]), F.lit(b""))).alias("_crc"),
     )
@@ -34,4 +36,5 @@ def shard(docs: DataFrame, shards: int = 8, text: str = "text", key: str = "doc_
     # One row per shard.
     firsts = placed.groupBy(F.col("_shard").alias("_of_shard")).agg(F.min("_rank").alias("_first"))
     placed = placed.join(F.broadcast(firsts), F.col("_shard") == F.col("_of_shard"))
-    return placed.select(*(F.col(n).alias(c) for n, c in zip(names, kept, strict=True)), "_size", "_crc", "_shard", (F.col("_rank") - F.col("_first")).alias("_slot"))
+    added = zip(fresh(docs, *ADDED), ("_size", "_crc", "_shard", F.col("_rank") - F.col("_first")), strict=True)
+    return placed.select(*(F.col(n).alias(c) for n, c in zip(names, kept, strict=True)), *((F.col(x) if isinstance(x, str) else x).alias(n) for n, x in added))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8, written
+from .common import small_batches, utf8, written
 
 #: First bit and width of each coordinate block.
 BLOCKS = [(0, 21), (21, 22), (43, 21)]
@@ -72,6 +72,7 @@ def _fingerprints(k: int):
 
 def fingerprints(docs: DataFrame, k: int = 4) -> DataFrame:
     """doc_id and fp (the fingerprint's 64 bits as a signed long) per row."""
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", utf8("text").alias("text")).mapInArrow(_fingerprints(k), f"doc_id {kind}, fp long")
 
@@ -271,10 +272,10 @@ def one_of_each(docs: DataFrame, threshold: int = 4, k: int = 4) -> DataFrame:
     """
     groups = written(near_duplicates(docs, threshold, k), "groups")
     removed = written(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("removed_id")).distinct(), "removed")
-    kept = docs.join(removed, docs["doc_id"] == F.col("removed_id"), "left_anti")
+    kept = docs.join(removed, docs["doc_id"] == removed["removed_id"], "left_anti")
     repeated = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("repeated_id"))
     repeated = written(repeated, "repeated")
     if repeated.isEmpty():
         return kept
-    again = F.col("repeated_id") == kept["doc_id"]
+    again = repeated["repeated_id"] == kept["doc_id"]
     return kept.join(repeated, again, "left_anti").unionByName(kept.join(repeated, again, "left_semi").dropDuplicates(["doc_id"]))
