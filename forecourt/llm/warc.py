@@ -15,13 +15,15 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, partitions, utf8, written
+from .common import new_path, small_batches, utf8, written
 
 #: Bytes of records in a frame, and of frames in a bundle, after which the next one begins.
 FRAME, BUNDLE = 1 << 20, 1 << 26
+#: Tasks that read bundles, at most.
+TASKS = 20_000
 #: Smaller payloads are never revisits.
 LEAST = 1000
 #: Fixed values of the seekable format: magic numbers of skippable frame and seek table.
@@ -169,6 +171,7 @@ def write_archives(pages: DataFrame, root: str, frame: int = FRAME, bundle: int
     referred to while others are there. Repeated rows give a record each. Files of failed
     attempts may lie about, but the index names none of them.
     """
+    small_batches(pages.sparkSession)
     own = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(utf8("html"), F.lit(b"")).alias("payload"))
     own = own.withColumn("digest", F.when(F.octet_length("payload") >= least, F.sha1("payload")))
     groups = own.where("digest is not null").groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n"))
@@ -226,7 +229,9 @@ def read_archives(index: DataFrame, root: str) -> DataFrame:
 
     Frames are found by the seek table and read one by one; payloads of responses are hashed again.
     """
-    bundles = index.select("bundle").distinct()
+    bundles = written(index.select("bundle").distinct(), "bundles")
+    # A bundle's name says nothing of its size, by which small partitions are merged: the number of tasks is set.
+    bundles = bundles.repartition(max(1, min(bundles.count(), TASKS)))
     return bundles.mapInArrow(_read(root), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
