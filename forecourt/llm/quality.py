@@ -120,9 +120,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn=None, max_rows: int = MAX_ROWS
     pick = lambda v: marked.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     chosen = pick(0).union(pick(1)).select(F.col("doc_id").alias("chosen_id"), "label")
     # At most 2 * max_rows ids: their number is bounded, so they are broadcast.
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("chosen_id") == F.col("doc_id")).select("label", utf8("text").alias("text"))
-    # The same bound holds for rows if ids repeat.
-    sample = texts.orderBy(F.xxhash64("text"), "label").limit(2 * max_rows).mapInArrow(_sparse, "label int, buckets array<int>, vals array<float>").toArrow()
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("chosen_id") == F.col("doc_id"))
+    # One text for each id, so that the bound holds for rows too.
+    texts = texts.groupBy("doc_id").agg(F.min("label").alias("label"), F.min("text").alias("text")).select("label", utf8("text").alias("text"))
+    sample = texts.mapInArrow(_sparse, "label int, buckets array<int>, vals array<float>").toArrow()
     rows = [(np.array(sample.column(1)[i].values, np.int64), np.array(sample.column(2)[i].values, np.float64), sample.column(0)[i].as_py()) for i in range(sample.num_rows)]
     rows.sort(key=lambda r: (r[2], len(r[0]), float(r[1].sum()), tuple(r[0][:16])))
     if not rows:

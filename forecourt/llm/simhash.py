@@ -6,7 +6,9 @@ some block. In each block the anchors are the words of the perfect binary Golay
 code of length 23 (blocks are padded with zeros): every point lies within the
 covering radius, 3, of exactly one anchor, its home. A fingerprint is copied to
 every anchor within 3 + t // 3, and home points are compared with the copies per
-anchor: this finds every pair within t.
+anchor: this finds every pair within t. Wider fingerprints are several such words, with
+three blocks each; with b blocks in all and `slack` extra bits about the home, every
+pair within b * (slack + 1) - 1 is found, and most of those a little beyond.
 
 Crowded anchors are cut into a grid of bounded cells, each compared by itself, and a
 cell gives a spanning forest of its links, never all pairs.
@@ -61,20 +63,39 @@ def majority_bits(hashes: np.ndarray) -> int:
     return int(sum(1 << i for i in np.flatnonzero(2 * counts > len(hashes)).tolist()))
 
 
-def _fingerprints(k: int):
+def word_names(words: int) -> list[str]:
+    return [f"w{i}" for i in range(words)]
+
+
+def node_numbers(prints: np.ndarray) -> np.ndarray:
+    """A 64-bit number for each row of words: a single word is its own number, several are hashed together."""
+    out = prints[:, 0]
+    for i in range(1, prints.shape[1]):
+        out = _mix(out, i) ^ (prints[:, i] * np.uint64(0x9E3779B97F4A7C15))
+    return out
+
+
+def _fingerprints(k: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [majority_bits(shingle_hashes(t.as_py() or b"", k)) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(prints, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            prints = np.zeros((batch.num_rows, words), np.uint64)
+            for row, text in enumerate(batch.column(1)):
+                hashes = shingle_hashes(text.as_py() or b"", k)
+                for i in range(words):
+                    # Further words are of hashes of the hashes.
+                    prints[row, i] = majority_bits(hashes if i == 0 else _mix(hashes, 2 * i + 1) ^ (_mix(hashes, 2 * i + 2) << np.uint64(32)))
+            columns = [pa.array(prints[:, i].view(np.int64)) for i in range(words)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node_numbers(prints).view(np.int64)), *columns], ["doc_id", "fp", *word_names(words)])
 
     return run
 
 
-def fingerprints(docs: DataFrame, k: int = 4) -> DataFrame:
-    """doc_id and fp (the fingerprint's 64 bits as a signed long) per row."""
+def fingerprints(docs: DataFrame, k: int = 4, words: int = 1) -> DataFrame:
+    """doc_id, the fingerprint's words w0, w1, ... (64 bits each, as signed longs), and fp, its number, per row."""
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", utf8("text").alias("text")).mapInArrow(_fingerprints(k), f"doc_id {kind}, fp long")
+    schema = ", ".join(f"{c} long" for c in ("fp", *word_names(words)))
+    return docs.select("doc_id", utf8("text").alias("text")).mapInArrow(_fingerprints(k, words), f"doc_id {kind}, {schema}")
 
 
 def _golay_syndromes(words: np.ndarray) -> np.ndarray:
@@ -96,10 +117,10 @@ class Covering:
         self.errors, self.first = errors[order], np.searchsorted(syndromes[order], np.arange(2049))
 
     def anchors(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Index of the print, cell number (block and anchor) and whether it is the print's home, for all copies."""
+        """Row of the print, cell number (block and anchor) and whether it is the print's home, for all copies."""
         rows, cells, homes = [], [], []
-        for number, (at, width) in enumerate(BLOCKS):
-            points = ((prints >> np.uint64(at)) & np.uint64((1 << width) - 1)).astype(np.int64)
+        for number, (word, (at, width)) in enumerate(itertools.product(range(prints.shape[1]), BLOCKS)):
+            points = ((prints[:, word] >> np.uint64(at)) & np.uint64((1 << width) - 1)).astype(np.int64)
             syndrome = _golay_syndromes(points)
             first, n = self.first[syndrome], self.first[syndrome + 1] - self.first[syndrome]
             row = np.repeat(np.arange(len(prints)), n)
@@ -116,17 +137,19 @@ def _mix(x: np.ndarray, seed: int) -> np.ndarray:
     return (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(33)
 
 
-def _uint64(column: pa.Array) -> np.ndarray:
-    return column.to_numpy(zero_copy_only=False).view(np.uint64)
+def _uint64(columns: list[pa.Array]) -> np.ndarray:
+    return np.stack([c.to_numpy(zero_copy_only=False).view(np.uint64) for c in columns], 1)
 
 
-def _crowds(slack: int):
+def _crowds(slack: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cover, copies, homes = Covering(slack), np.zeros(len(BLOCKS) * ANCHORS, np.int64), np.zeros(len(BLOCKS) * ANCHORS, np.int64)
+        cover, copies, homes = Covering(slack), np.zeros(size, np.int64), np.zeros(size, np.int64)
         for batch in batches:
-            _, cells, home = cover.anchors(_uint64(batch.column(0)))
-            copies += np.bincount(cells, minlength=len(copies))
-            homes += np.bincount(cells[home], minlength=len(homes))
+            prints = _uint64(batch.columns)
+            for at in range(0, len(prints), 4096):
+                _, cells, home = cover.anchors(prints[at : at + 4096])
+                copies += np.bincount(cells, minlength=size)
+                homes += np.bincount(cells[home], minlength=size)
         cell = np.flatnonzero(copies)
         yield pa.RecordBatch.from_pydict({"cell": cell, "copies": copies[cell], "homes": homes[cell]})
 
@@ -134,19 +157,19 @@ def _crowds(slack: int):
 
 
 def _copies(slack: int, crowds):
-    """Rows (cell, fp, home) of the comparison: both sides of a crowded anchor are dealt to a grid of cells."""
+    """Rows (cell, home, words) of the comparison: both sides of a crowded anchor are dealt to a grid of cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cover, (copies, homes) = Covering(slack), crowds.value
         down, across = -(-homes // CELL), -(-copies // CELL)
         for batch in batches:
-            everything = _uint64(batch.column(0))
-            for at in range(0, len(everything), 4096):
-                prints = everything[at : at + 4096]
+            everything = _uint64(batch.columns)
+            for at in range(0, len(everything), 1024):
+                prints = everything[at : at + 1024]
                 row, cell, home = cover.anchors(prints)
                 keep = homes[cell] > 0
                 row, cell, home = row[keep], cell[keep], home[keep]
-                own = _mix(prints, 1)
+                own = _mix(node_numbers(prints), 1)
                 for is_home, pick in ((True, home), (False, np.ones(len(row), bool))):
                     r, c = row[pick], cell[pick]
                     fixed, free = (down, across) if is_home else (across, down)
@@ -154,19 +177,23 @@ def _copies(slack: int, crowds):
                     mine = np.repeat((own[r] % fixed[c].astype(np.uint64)).astype(np.int64), times)
                     other = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
                     i, j = (mine, other) if is_home else (other, mine)
-                    yield pa.RecordBatch.from_pydict({"cell": (np.repeat(c, times) << 40) | (i << 20) | j, "fp": prints[np.repeat(r, times)].view(np.int64), "home": np.full(len(i), is_home)})
+                    whole = prints[np.repeat(r, times)].view(np.int64)
+                    columns = {f"w{n}": np.ascontiguousarray(whole[:, n]) for n in range(whole.shape[1])}
+                    yield pa.RecordBatch.from_pydict({"cell": (np.repeat(c, times) << 40) | (i << 20) | j, "home": np.full(len(i), is_home)} | columns)
 
     return run
 
 
 def forest(homes: np.ndarray, copies: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (from, to) that join the same points as all pairs of a home and a copy within the threshold do."""
-    points = np.unique(np.concatenate((homes, copies)))
-    label, at_copy = np.arange(len(points)), np.searchsorted(points, copies)
-    at_home = np.searchsorted(points, homes)
+    """Links (from, to), as node numbers, that join the same points as all pairs of a home and a copy within the threshold do."""
+    of_home, of_copy = node_numbers(homes), node_numbers(copies)
+    points = np.unique(np.concatenate((of_home, of_copy)))
+    label, at_copy = np.arange(len(points)), np.searchsorted(points, of_copy)
+    at_home = np.searchsorted(points, of_home)
     step = max(1, (1 << 20) // max(1, len(copies)))
     for a in range(0, len(homes), step):
-        near = np.bitwise_count(homes[a : a + step, None] ^ copies[None, :]) <= threshold
+        apart = sum(np.bitwise_count(homes[a : a + step, None, i] ^ copies[None, :, i]) for i in range(homes.shape[1]))
+        near = apart <= threshold
         for i in np.flatnonzero(near.sum(1) > 1):
             met = np.append(label[at_copy[near[i]]], label[at_home[a + i]])
             low = met.min()
@@ -181,7 +208,7 @@ def _links(threshold: int):
         rest: list[tuple] = []
 
         def joined(parts):
-            cell, fp, home = (np.concatenate([p[i] for p in parts]) for i in range(3))
+            cell, fp, home = (np.concatenate([p[i] for p in parts]) for i in range(3))  # fp: rows of words
             cuts = np.flatnonzero(np.diff(cell)) + 1
             found = []
             for a, b in zip(np.concatenate(([0], cuts)), np.concatenate((cuts, [len(cell)])), strict=True):
@@ -194,7 +221,7 @@ def _links(threshold: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cell, fp, home = batch.column(0).to_numpy(), _uint64(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False)
+            cell, home, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), _uint64(batch.columns[2:])
             cut = np.searchsorted(cell, cell[-1])  # the last cell may go on in the next batch
             if cut:
                 yield joined([*rest, (cell[:cut], fp[:cut], home[:cut])])
@@ -209,16 +236,23 @@ def _links(threshold: int):
     return run
 
 
-def links(prints: DataFrame, threshold: int = 4) -> DataFrame:
-    """Links (a, b) between distinct fingerprints (column fp) that connect all that differ in at most `threshold` bits."""
-    slack = threshold // len(BLOCKS)
-    size = len(BLOCKS) * ANCHORS
-    rows = prints.mapInArrow(_crowds(slack), "cell long, copies long, homes long").groupBy("cell").agg(F.sum("copies"), F.sum("homes")).collect()  # one row per anchor: 12,288 at most
+def links(prints: DataFrame, threshold: int = 4, slack: int | None = None) -> DataFrame:
+    """Links (a, b), as fingerprints' numbers, that connect all distinct ones (the columns are their words) that differ in at most `threshold` bits.
+
+    A smaller slack than the default finds all pairs within blocks * (slack + 1) - 1 bits, and
+    of those beyond, up to the threshold, the ones that share an anchor.
+    """
+    words = word_names(len(prints.columns))
+    prints, blocks = prints.toDF(*words), len(BLOCKS) * len(words)
+    slack = threshold // blocks if slack is None else slack
+    size = blocks * ANCHORS
+    rows = prints.mapInArrow(_crowds(slack, size), "cell long, copies long, homes long").groupBy("cell").agg(F.sum("copies"), F.sum("homes")).collect()  # one row per anchor: 12,288 for each word at most
     copies, homes = np.zeros(size, np.int64), np.zeros(size, np.int64)
     for cell, n, h in rows:
         copies[cell], homes[cell] = n, h
     crowds = prints.sparkSession.sparkContext.broadcast((copies, homes))
-    dealt = prints.mapInArrow(_copies(slack, crowds), "cell long, fp long, home boolean").repartition("cell").sortWithinPartitions("cell")
+    schema = "cell long, home boolean, " + ", ".join(f"{w} long" for w in words)
+    dealt = prints.mapInArrow(_copies(slack, crowds), schema).repartition("cell").sortWithinPartitions("cell")
     return dealt.mapInArrow(_links(threshold), "a long, b long")
 
 
@@ -245,8 +279,8 @@ def connected(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")) if labels is None else labels
 
 
-def near_duplicates(docs: DataFrame, threshold: int = 4, k: int = 4) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id for every row of docs (doc_id, text; others are ignored).
+def near_duplicates(docs: DataFrame, threshold: int = 4, k: int = 4, words: int = 1, slack: int | None = None) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits a word), component_id for every row of docs (doc_id, text; others are ignored).
 
     component_id is the smallest doc_id reachable over links of at most `threshold`
     differing bits. Null, empty and blank texts have fingerprint zero and link like
@@ -254,23 +288,25 @@ def near_duplicates(docs: DataFrame, threshold: int = 4, k: int = 4) -> DataFram
     over when the smallest is taken (null if a component has no other). An empty
     table gives an empty result.
     """
-    prints = written(fingerprints(docs, k), "prints")
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
-    roots = connected(links(nodes.select("fp"), threshold))
+    prints = written(fingerprints(docs, k, words), "prints")
+    names = word_names(words)
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), *(F.min(w).alias(w) for w in names)), "nodes")
+    roots = connected(links(nodes.select(*names), threshold, slack))
     members = written(roots.withColumnRenamed("node", "fp").join(nodes, "fp"), "members")
     lowest = members.groupBy("root").agg(F.min("low").alias("lowest"))
     classes = written(members.join(written(lowest, "lowest"), "root").select("fp", "lowest"), "classes")
     known = written(nodes.join(classes, "fp", "left").select("fp", F.coalesce("lowest", "low").alias("component_id")), "known")
-    return prints.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    digits = F.concat(*(F.lower(F.lpad(F.hex(w), 16, "0")) for w in reversed(names)))
+    return prints.join(known, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, threshold: int = 4, k: int = 4) -> DataFrame:
+def one_of_each(docs: DataFrame, threshold: int = 4, k: int = 4, words: int = 1, slack: int | None = None) -> DataFrame:
     """The rows of docs without near-duplicates: of each component that with the smallest doc_id stays.
 
     Columns stay as they are. Rows with a null doc_id stay; of rows that share the
     id that stays, one stays.
     """
-    groups = written(near_duplicates(docs, threshold, k), "groups")
+    groups = written(near_duplicates(docs, threshold, k, words, slack), "groups")
     removed = written(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("removed_id")).distinct(), "removed")
     kept = docs.join(removed, docs["doc_id"] == removed["removed_id"], "left_anti")
     repeated = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("repeated_id"))

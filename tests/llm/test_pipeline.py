@@ -34,14 +34,35 @@ def test_quality_rejects_bad_and_keeps_good(spark, stages):
 
 
 def test_one_of_each_component_stays(stages):
-    from tests.llm.test_ops import brute_components, brute_print
-
-    before, kept = stages[0].collect(), {r.doc_id for r in stages[1].collect()}
-    top = brute_components([brute_print(r.text) for r in before], 4)
+    from forecourt.llm import simhash
+    from tests.llm.test_ops import brute_components
+
+    prints = {r.doc_id: (r.w0 & 2**64 - 1) | (r.w1 & 2**64 - 1) << 64 for r in simhash.fingerprints(stages[0], 5, 2).collect()}
+    ids, kept = sorted(prints), {r.doc_id for r in stages[1].collect()}
+    sure, wide = (brute_components([prints[i] for i in ids], t) for t in (17, 20))
+    n = Counter(t for i, t in zip(ids, sure, strict=True) if i in kept)
+    assert max(n.values()) == 1  # all within 17 bits are linked
     low = {}
-    for r, t in zip(before, top, strict=True):
-        low[t] = min(low.get(t, r.doc_id), r.doc_id)
-    assert kept == set(low.values())
+    for i, t in zip(ids, wide, strict=True):
+        low.setdefault(t, i)
+    assert set(low.values()) <= kept  # and none beyond 20
+
+
+def test_similar_documents_do_not_both_stay(stages):
+    def shingles(text):
+        w = text.lower().split()
+        return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    docs = {r.doc_id: shingles(r.text) for r in stages[0].collect()}
+    kept, by = {r.doc_id for r in stages[1].collect()}, {}
+    for i, s in docs.items():
+        for x in s:
+            by.setdefault(x, []).append(i)
+    pairs = {(a, b) for v in by.values() if len(v) < 50 for a in v for b in v if a < b}
+    near = [(a, b) for a, b in pairs if len(docs[a] & docs[b]) >= 0.8 * len(docs[a] | docs[b])]
+    assert near and sum(a in kept and b in kept for a, b in near) <= 0.2 * len(near)
+    least = min(docs)
+    assert least in kept and all(any(len(docs[i] & docs[k]) >= 0.3 * len(docs[i] | docs[k]) for k in docs if k < i) for i in set(docs) - kept)
 
 
 def test_no_benchmark_passage_stays(spark, stages):
