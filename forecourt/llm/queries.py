@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, language, licenses, mixing, quality, sharding, simhash, token_counts, topk, warc
 from .common import table
+from .oracles import ORACLES
 
+__all__ = ["ORACLES", "QUERIES"]
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Words of a vocabulary file's name; where it lies is asked of the installed package.
@@ -86,27 +88,3 @@ QUERIES: dict[str, Query] = {
     "op10_licenses": op10_licenses,
     "pipeline": _pipeline,
 }
-
-ORACLES: dict[str, str] = {
-    "op1_warc": """
-        WITH p AS (
-            SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
-        ), q AS (
-            SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS keeper FROM p
-        )
-        SELECT page_id, payload_bytes, payload_digest,
-               CASE WHEN keeper = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-               CASE WHEN keeper = page_id THEN NULL ELSE keeper END AS refers_to
-        FROM q""",
-    "op6_topk": """
-        WITH v AS (
-            SELECT CAST(vec_id AS BIGINT) AS vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
-            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-        ), s AS (
-            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
-            FROM v q, v c WHERE q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
-        ), r AS (
-            SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
-        )
-        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
-}

@@ -527,3 +527,18 @@ def test_queries_cover_their_tables(spark, name):
         assert n == spark.read.parquet(f"{SF}/documents.parquet").count()
     elif name == "op1_warc":
         assert n == spark.read.parquet(f"{SF}/pages.parquet").count()
+
+
+@pytest.mark.parametrize("name", sorted(__import__("forecourt.llm.queries", fromlist=["ORACLES"]).ORACLES))
+def test_queries_are_their_sql(spark, name):
+    import duckdb
+
+    from forecourt.llm.queries import ORACLES
+
+    con = duckdb.connect()
+    for t in ("documents", "pages", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got = con.execute(ORACLES[name])
+    columns = [d[0] for d in got.description]
+    df = QUERIES[name](spark, SF).select(*columns)
+    assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, got.fetchall()))
