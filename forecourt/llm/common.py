@@ -25,6 +25,12 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def drop_scratch(spark: SparkSession) -> None:
+    """Deletes what this application's operators have staged; results that were not written elsewhere go with it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/forecourt/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that nothing else uses."""
     return f"{shared_dir(spark)}/forecourt/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"

@@ -542,3 +542,15 @@ def test_queries_are_their_sql(spark, name):
     columns = [d[0] for d in got.description]
     df = QUERIES[name](spark, SF).select(*columns)
     assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, got.fetchall()))
+
+
+def test_staged_tables_can_be_dropped(spark):
+    from pathlib import Path
+
+    from forecourt.llm import common
+
+    common.written(spark.range(3), "x").count()
+    at = Path(common.shared_dir(spark).removeprefix("file://"), "forecourt", spark.sparkContext.applicationId)
+    assert any(at.iterdir())
+    common.drop_scratch(spark)
+    assert not at.exists()
