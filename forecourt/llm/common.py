@@ -40,6 +40,10 @@ def new_path(spark: SparkSession, name: str) -> str:
 FILES_PER_SLOT = 4
 
 
+def slot_files(spark: SparkSession) -> int:
+    return FILES_PER_SLOT * spark.sparkContext.defaultParallelism
+
+
 def written(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     """The rows of df, written once to the shared folder and read back.
 
@@ -49,7 +53,7 @@ def written(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     slots; a table of a few rows takes one file.
     """
     path = new_path(df.sparkSession, name)
-    df.coalesce(files or FILES_PER_SLOT * df.sparkSession.sparkContext.defaultParallelism).write.parquet(path)
+    df.coalesce(files or slot_files(df.sparkSession)).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
