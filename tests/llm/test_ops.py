@@ -554,3 +554,20 @@ def test_staged_tables_can_be_dropped(spark):
     assert any(at.iterdir())
     common.drop_scratch(spark)
     assert not at.exists()
+
+
+def test_many_partitions_in_few_files(spark, real):
+    """Neighbouring partitions share a file; row keys and ranges must stay those of the partitions."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 200)
+    try:
+        d = real.repartition(90)
+        check_shards(sharding.shard(d).collect())
+        want = {r.doc_id: (r._taken, tuple(r._slots)) for r in mixing.mix(real).collect()}
+        assert {r.doc_id: (r._taken, tuple(r._slots)) for r in mixing.mix(d).collect()} == want
+        tokens = lambda x: sorted(map(tuple, token_counts.count_tokens(x, vocabulary_path(), 2048, 50).collect()))
+        assert tokens(d) == tokens(real)
+        scans = lambda x: sorted(map(repr, licenses.scan(x).collect()))
+        assert scans(d) == scans(real)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

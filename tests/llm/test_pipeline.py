@@ -89,3 +89,17 @@ def test_shards_are_equal(stages):
 def test_run_gives_the_last_stage(spark, stages):
     key = lambda df: sorted((r.doc_id, r.shard) for r in df.collect())
     assert key(P.run(spark, SF)) == key(stages[-1]) and P.ORACLE_SQL is None
+
+
+@pytest.mark.parametrize(("name", "stage"), P.STAGES)
+def test_stages_take_odd_rows_and_empty_tables(spark, name, stage):
+    from pyspark.sql import functions as F
+
+    rows = [(1, None, None, None), (2, "", "en", ""), (None, "a b c", "en", "s"), (3, "a b c", "de", "s"), (3, "a b c", "de", "s"), (4, "word " * 40_000, None, "s"), (5, " \t ", "en", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({"n_chars": F.length("text").cast("long"), "shard": F.lit("x"), "slot": F.lit(1), "label": F.lit(2), "_slots": F.lit(3), "fp": F.lit(4), "score": F.lit(None).cast("double")})
+    out = stage(spark, docs, "/root/testdata/sf0.001")
+    assert out.columns[: len(docs.columns)] == docs.columns and out.count() <= 2 * len(rows)
+    assert {r.doc_id for r in out.collect()} <= {None, 1, 2, 3, 4, 5}
+    assert stage(spark, docs.limit(0), "/root/testdata/sf0.001").count() == 0
+    if name == "sharding":
+        assert out.columns[-2:] == ["_shard", "_slot"] and out.count() == len(rows)
