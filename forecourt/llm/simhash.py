@@ -193,8 +193,8 @@ def forest(homes: np.ndarray, copies: np.ndarray, threshold: int) -> tuple[np.nd
     step = max(1, (1 << 20) // max(1, len(copies)))
     for a in range(0, len(homes), step):
         apart = sum(np.bitwise_count(homes[a : a + step, None, i] ^ copies[None, :, i]) for i in range(homes.shape[1]))
-        near = apart <= threshold
-        for i in np.flatnonzero(near.sum(1) > 1):
+        near = (apart <= threshold) & (apart > 0)  # a home's own copy may lie in another cell
+        for i in np.flatnonzero(near.any(1)):
             met = np.append(label[at_copy[near[i]]], label[at_home[a + i]])
             low = met.min()
             if (met != low).any():
@@ -213,7 +213,7 @@ def _links(threshold: int):
             found = []
             for a, b in zip(np.concatenate(([0], cuts)), np.concatenate((cuts, [len(cell)])), strict=True):
                 mine, is_home = fp[a:b], home[a:b]
-                if b - a > 2 and is_home.any():
+                if is_home.any() and not is_home.all():
                     found.append(forest(mine[is_home], mine[~is_home], threshold))
             x, y = (np.concatenate([f[i] for f in found] or [np.empty(0, np.uint64)]) for i in range(2))
             return pa.RecordBatch.from_pydict({"a": x.view(np.int64), "b": y.view(np.int64)})

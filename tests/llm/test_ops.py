@@ -199,6 +199,23 @@ def test_links_connect_all_that_are_near(spark, monkeypatch, threshold):
     assert len(set(zip(mine, want, strict=True))) == len(set(mine)) == len(set(want))
 
 
+@pytest.mark.parametrize("cell", [1, 16])
+def test_lone_pairs_in_crowded_anchors_are_linked(spark, monkeypatch, cell):
+    monkeypatch.setattr(simhash, "CELL", cell)
+    rng, prints = np.random.default_rng(cell), set()
+    for _ in range(100 if cell > 1 else 20):  # three bits in each block: at home at the zero anchor of all three
+        p = sum(1 << at + int(i) for at, width in simhash.BLOCKS for i in rng.choice(width, 3, replace=False))
+        on, off = ([i for i in range(21) if p >> i & 1 == b] for b in (1, 0))
+        prints |= {p, p ^ 1 << int(rng.choice(on)) ^ 1 << int(rng.choice(off))}
+    prints = sorted(prints)
+    want = brute_components(prints, 4)
+    assert len(set(want)) >= 0.4 * len(prints)  # mostly pairs
+    signed = [int(np.uint64(p).astype(np.int64)) for p in prints]
+    roots = {r.node: r.root for r in simhash.connected(simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long"))).collect()}
+    mine = [roots.get(p, p) for p in signed]
+    assert len(set(zip(mine, want, strict=True))) == len(set(mine)) == len(set(want))
+
+
 def test_golay_code_covers():
     cover = simhash.Covering(0)
     assert np.array_equal(np.diff(cover.first[:2049]), np.ones(2048))  # one pattern of at most 3 bits for each syndrome
