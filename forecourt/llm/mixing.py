@@ -1,17 +1,19 @@
 """Mixing sources to target weights by a low-discrepancy schedule of equal-token blocks.
 
-Each source's documents are put in a shuffled order and cut into blocks of equal
-token counts. A schedule of slots is drawn from the golden-ratio sequence: slot i
+Each source's documents are put in a shuffled order, from the first again after the
+last. A schedule of slots is drawn from the golden-ratio sequence: slot i
 belongs to the source in whose share of the cumulative targets the fraction of
-(i + 1/2) times the golden ratio falls. A source's slots, ranked, take its blocks in
-turn, from the first again after the last. Any stretch of the schedule then holds the
-sources in nearly their target shares.
+(i + 1/2) times the golden ratio falls. A source's slots, ranked, take its turns: its
+target, to the word, cut into as many equal blocks as it has slots. A source with fewer
+than `LEAST_TURNS` slots takes its target in that many smaller blocks instead, spread
+evenly over the schedule, whose slots then hold a block of it besides their own. Any
+stretch of the schedule then holds the sources in nearly their target shares.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, written
@@ -20,6 +22,8 @@ from .prefix import running_sums
 #: Slots of the schedule: a constant, so that the schedule's size is bounded.
 SLOTS = 1 << 16
 GOLDEN = (5**0.5 - 1) / 2
+#: Blocks of a source at least, if its target has as many words.
+LEAST_TURNS = 64
 #: Sources that may be told apart; their totals are the only thing the driver gathers.
 MAX_SOURCES = 1_000_000
 ADDED = ("_size", "_source_size", "_target", "_taken", "_slots")
@@ -52,8 +56,7 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0
 
     docs needs doc_id, text and source. Sources, in order of code points and null
     last, weigh as `weights` says, repeating. _taken is how many of the row's words the
-    mix takes, repeats counted: words of a block count each time that the block is
-    scheduled. _slots are the slots in which the row's first word is scheduled: where
+    mix takes, repeats counted; over a source they sum up to its target, rounded. _slots are the slots in which the row's first word is scheduled: where
     the mix emits the whole row. The same rows give the same mix. Rows without words
     take part with size 0 (_slots as for their place); repeated rows are rows of their
     own, in either order; an empty table gives an empty result. Added names get further
@@ -71,34 +74,44 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0
     rows = sorted(found.collect(), key=lambda r: (r[0] is None, (r[0] or "").encode("utf-32-be", "surrogatepass")))
     sizes = [r[1] for r in rows]
     goals = targets(sizes, [weights[i % len(weights)] for i in range(len(rows))], share, cap) if rows else []
-    block = max(1, int(sum(goals) // slots))
-    schema = f"_name {docs.schema['source'].dataType.simpleString()}, _id long, _source_size long, _target double, _blocks long"
-    sources = spark.createDataFrame([(r[0], i, r[1], goals[i], -(-r[1] // block)) for i, r in enumerate(rows)], schema)
+    words = [min(round(goal), int(cap * size)) for goal, size in zip(goals, sizes, strict=True)]
 
-    # The schedule, a bounded table: slot, source, the block it takes.
+    # The schedule, a bounded table: source, turn, the slot that it has.
+    block = max(1, int(sum(goals) // slots))
     used = int(sum(goals) // block)
     bounds = np.cumsum(goals) / sum(goals) if used else np.ones(1)
     at = np.searchsorted(bounds, (np.arange(used) + 0.5) * GOLDEN % 1, side="right")
     at = np.minimum(at, max(len(rows) - 1, 0))
-    plan = written(spark.createDataFrame(list(enumerate(map(int, at))), "_slot long, _id long"), "schedule", files=1)
-    rank = plan.withColumn("_turn", F.row_number().over(Window.partitionBy("_id").orderBy("_slot")) - 1)
-    # No block is taken more often than the cap allows.
-    taken = rank.join(sources, "_id").where(F.col("_turn") < F.col("_blocks") * int(cap))
-    taken = written(taken.select("_id", (F.col("_turn") % F.col("_blocks")).alias("_block"), "_slot"), "taken", files=1)
-    turns = taken.groupBy("_id").agg(F.count("*").alias("_turns"))
-    sources = written(sources.join(turns, "_id", "left").withColumn("_turns", F.coalesce("_turns", F.lit(0))), "targets", files=1)
-    block_slots = taken.groupBy(F.col("_id").alias("_of"), F.col("_block").alias("_nth")).agg(F.sort_array(F.collect_list("_slot")).alias("_slots"))
-
-    # At most MAX_SOURCES rows and SLOTS rows: both are broadcast.
+    drawn = np.bincount(at, minlength=len(rows)).tolist()
+    dense = [n >= LEAST_TURNS for n in drawn]
+    turns = [n if d else min(w, LEAST_TURNS) for n, d, w in zip(drawn, dense, words, strict=False)]
+    by_source = np.argsort(at, kind="stable")
+    turn = np.arange(used) - np.repeat(np.cumsum(drawn) - drawn, drawn).astype(np.int64)
+    plan = [x for x in zip(at[by_source].tolist(), turn.tolist(), by_source.tolist(), strict=True) if dense[x[0]]]
+    plan = written(spark.createDataFrame(plan, "_of long, _nth long, _slot long"), "schedule", files=1)
+    schema = f"_name {docs.schema['source'].dataType.simpleString()}, _id long, _source_size long, _target double, _words long, _turns long, _offset double"
+    offsets = [None if d else (i + 1) * GOLDEN % 1 for i, d in enumerate(dense)]
+    sources = [(r[0], i, r[1], goals[i], words[i], turns[i], offsets[i]) for i, r in enumerate(rows)]
+    sources = written(spark.createDataFrame(sources, schema), "targets", files=1)
+
+    # At most MAX_SOURCES rows and 2 * SLOTS rows: both are broadcast.
     joined = own.join(F.broadcast(sources), F.col(of["source"]).eqNullSafe(F.col("_name"))).drop("_name")
     order = [F.xxhash64(F.col(of["doc_id"]), F.lit(seed)), F.col(of["doc_id"]), F.col("_text")]
-    placed = running_sums(joined, order, "_size", "_id")
-    full = F.expr("_turns div greatest(_blocks, 1)")
-    rest = F.expr("_turns % greatest(_blocks, 1)") * block
-    part = F.greatest(F.lit(0), F.least(F.col("_start") + F.col("_size"), rest) - F.least(F.col("_start"), rest))
-    out = placed.withColumn("_taken", full * F.col("_size") + part).withColumn("_first", F.expr(f"least(_start div {block}, greatest(_blocks - 1, 0))"))
-    out = out.join(F.broadcast(block_slots), (F.col("_id") == F.col("_of")) & (F.col("_first") == F.col("_nth")), "left")
-    out = out.withColumn("_slots", F.coalesce("_slots", F.array().cast("array<long>")))
+    out = running_sums(joined, order, "_size", "_id")
+    full = F.expr("_words div greatest(_source_size, 1)")
+    rest = F.expr("_words % greatest(_source_size, 1)")
+    part = F.least(F.col("_start") + F.col("_size"), rest) - F.least(F.col("_start"), rest)
+    out = out.withColumn("_taken", full * F.col("_size") + part)
+    passes = max((-(-w // n) for w, n in zip(words, sizes, strict=True) if n), default=0)
+    for i in range(passes):  # 2, as the cap is
+        # Rows without words at a source's end are placed with its last word.
+        first = f"{i} * _source_size + least(_start, greatest(_source_size - 1, 0))"
+        out = out.withColumn(f"_turn{i}", F.expr(f"CASE WHEN {first} < _words THEN ({first}) * _turns div greatest(_words, 1) END"))
+        one = plan.select(F.col("_of").alias(f"_of{i}"), F.col("_nth").alias(f"_nth{i}"), F.col("_slot").alias(f"_slot{i}"))
+        out = out.join(F.broadcast(one), (F.col("_id") == F.col(f"_of{i}")) & (F.col(f"_turn{i}") == F.col(f"_nth{i}")), "left")
+        spread = F.least(F.floor((F.col(f"_turn{i}") + F.col("_offset")) / F.col("_turns") * used), F.lit(max(used - 1, 0)))
+        out = out.withColumn(f"_slot{i}", F.when(F.col("_offset").isNull(), F.col(f"_slot{i}")).when(F.col(f"_turn{i}").isNotNull(), spread))
+    out = out.withColumn("_slots", F.array_compact(F.array(*(F.col(f"_slot{i}") for i in range(passes))).cast("array<long>")))
     return out.select(*(F.col(n).alias(c) for c, n in of.items()), *(F.col(x).alias(n) for n, x in zip(fresh(docs, *ADDED), ADDED, strict=True)))
 
 

@@ -330,6 +330,23 @@ def test_every_stretch_of_the_schedule_is_balanced(spark):
         assert abs(n["a"] - 100 * 200 / 450) < 12 and abs(n["b"] - 100 * 83 / 450) < 12
 
 
+def test_small_sources_meet_their_targets(spark):
+    texts = ["w " * 40_000] * 300 + ["v " * 5] * 12 + ["u", None]
+    d = docs(spark, *texts, sources={i: "big" if i < 300 else f"s{i % 3}" if i < 312 else "tz"[i - 312] for i in range(len(texts))})
+    rows = mixing.mix(d).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.source, []).append(r)
+    assert sum(r._target for r in rows if r.source == "s0") > 0 and len(by) == 6
+    for own in by.values():
+        assert abs(sum(r._taken for r in own) - own[0]._target) <= 0.5
+        assert sum(r._size * len(r._slots) for r in own) == pytest.approx(own[0]._target, abs=max(r._size for r in own))
+    last = max(s for r in by["big"] for s in r._slots)
+    slots = sorted(s for r in by["s0"] + by["s1"] + by["s2"] for s in r._slots)
+    assert len(slots) == 24 and slots[0] < last / 4 and slots[-1] > 3 * last / 4
+    assert Counter(r.source for r in mixing.mixed_rows(d).collect() if r.source != "big") == {"s0": 8, "s1": 8, "s2": 8, "t": 2}
+
+
 def test_mix_of_odd_texts(spark, odd):
     out = mixing.mix(odd.withColumn("source", F.when(F.col("doc_id") > 3, "z")))
     assert out.count() == len(ODD) + 1 and mixing.mixed_rows(odd).columns == odd.columns
