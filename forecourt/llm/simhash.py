@@ -83,7 +83,7 @@ def _fingerprints(k: int, words: int):
                 hashes = shingle_hashes(text.as_py() or b"", k)
                 for i in range(words):
                     # Further words are of hashes of the hashes.
-                    prints[row, i] = majority_bits(hashes if i == 0 else _mix(hashes, 2 * i + 1) ^ (_mix(hashes, 2 * i + 2) << np.uint64(32)))
+                    prints[row, i] = majority_bits(hashes if i == 0 else _mix64(hashes, i))
             columns = [pa.array(prints[:, i].view(np.int64)) for i in range(words)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node_numbers(prints).view(np.int64)), *columns], ["doc_id", "fp", *word_names(words)])
 
@@ -137,6 +137,13 @@ def _mix(x: np.ndarray, seed: int) -> np.ndarray:
     return (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(33)
 
 
+def _mix64(x: np.ndarray, seed: int) -> np.ndarray:
+    """All 64 bits, unlike _mix, which gives 31."""
+    x = (x ^ np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
 def _uint64(columns: list[pa.Array]) -> np.ndarray:
     return np.stack([c.to_numpy(zero_copy_only=False).view(np.uint64) for c in columns], 1)
 

@@ -216,6 +216,12 @@ def test_lone_pairs_in_crowded_anchors_are_linked(spark, monkeypatch, cell):
     assert len(set(zip(mine, want, strict=True))) == len(set(mine)) == len(set(want))
 
 
+def test_all_bits_of_further_words_are_used(spark):
+    prints = simhash.fingerprints(docs(spark, *(f"word{i}" for i in range(200))), words=2).collect()
+    for w in ("w0", "w1"):
+        assert {b for r in prints for b in range(64) if r[w] >> b & 1} == set(range(64))
+
+
 def test_golay_code_covers():
     cover = simhash.Covering(0)
     assert np.array_equal(np.diff(cover.first[:2049]), np.ones(2048))  # one pattern of at most 3 bits for each syndrome
