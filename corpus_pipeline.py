@@ -21,10 +21,9 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Near-duplicates are about 0.8 similar in five-word shingles.
 
-    That is 19 or 20 of 128 differing bits on average: links reach to 20 bits, and with
-    two extra bits about the home anchor all within 17 are found.
+    That is 19 or 20 of 128 differing bits on average: all within 20 bits are linked.
     """
-    return simhash.one_of_each(docs, threshold=20, k=5, words=2, slack=2)
+    return simhash.one_of_each(docs, threshold=20, k=5, words=2)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,10 +5,11 @@ bits. Fingerprints that differ in at most t bits differ in at most t // 3 bits o
 some block. In each block the anchors are the words of the perfect binary Golay
 code of length 23 (blocks are padded with zeros): every point lies within the
 covering radius, 3, of exactly one anchor, its home. A fingerprint is copied to
-every anchor within 3 + t // 3, and home points are compared with the copies per
+every anchor within 3 + t // 3 at most, and home points are compared with the copies per
 anchor: this finds every pair within t. Wider fingerprints are several such words, with
-three blocks each; with b blocks in all and `slack` extra bits about the home, every
-pair within b * (slack + 1) - 1 is found, and most of those a little beyond.
+three blocks each; with `slack` extra bits about the home in each of b blocks, every
+pair within b * (slack + 1) - 1 is found, and most of those a little beyond. Slacks
+may differ by block: a pair that no block finds differs in at least the sum of slack + 1.
 
 Crowded anchors are cut into a grid of bounded cells, each compared by itself, and a
 cell gives a spanning forest of its links, never all pairs.
@@ -16,6 +17,7 @@ cell gives a spanning forest of its links, never all pairs.
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 
@@ -116,20 +118,34 @@ class Covering:
         order = np.argsort(syndromes, kind="stable")
         self.errors, self.first = errors[order], np.searchsorted(syndromes[order], np.arange(2049))
 
-    def anchors(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row of the print, cell number (block and anchor) and whether it is the print's home, for all copies."""
-        rows, cells, homes = [], [], []
-        for number, (word, (at, width)) in enumerate(itertools.product(range(prints.shape[1]), BLOCKS)):
-            points = ((prints[:, word] >> np.uint64(at)) & np.uint64((1 << width) - 1)).astype(np.int64)
-            syndrome = _golay_syndromes(points)
-            first, n = self.first[syndrome], self.first[syndrome + 1] - self.first[syndrome]
-            row = np.repeat(np.arange(len(prints)), n)
-            step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            code = points[row] ^ self.errors[first[row] + step]
-            rows.append(row)
-            cells.append(number * ANCHORS + (code >> 11))
-            homes.append(step == 0)
-        return tuple(map(np.concatenate, (rows, cells, homes)))
+
+@functools.cache
+def _covering(slack: int) -> Covering:
+    """The covering, made once in each Python worker."""
+    return Covering(slack)
+
+
+def anchors(prints: np.ndarray, slacks: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row of the print, cell number (block and anchor) and whether it is the print's home, for all copies; a slack for each block."""
+    rows, cells, homes = [], [], []
+    for number, (word, (at, width)) in enumerate(itertools.product(range(prints.shape[1]), BLOCKS)):
+        cover = _covering(slacks[number])
+        points = ((prints[:, word] >> np.uint64(at)) & np.uint64((1 << width) - 1)).astype(np.int64)
+        syndrome = _golay_syndromes(points)
+        first, n = cover.first[syndrome], cover.first[syndrome + 1] - cover.first[syndrome]
+        row = np.repeat(np.arange(len(prints)), n)
+        step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        code = points[row] ^ cover.errors[first[row] + step]
+        rows.append(row)
+        cells.append(number * ANCHORS + (code >> 11))
+        homes.append(step == 0)
+    return tuple(map(np.concatenate, (rows, cells, homes)))
+
+
+def block_slacks(threshold: int, blocks: int) -> list[int]:
+    """Extra bits about the homes, by block, that find all pairs within the threshold: with each slack one more, they add up to over it."""
+    each, more = divmod(threshold + 1, blocks)
+    return [max(0, each - (i >= more)) for i in range(blocks)]
 
 
 def _mix(x: np.ndarray, seed: int) -> np.ndarray:
@@ -148,13 +164,13 @@ def _uint64(columns: list[pa.Array]) -> np.ndarray:
     return np.stack([c.to_numpy(zero_copy_only=False).view(np.uint64) for c in columns], 1)
 
 
-def _crowds(slack: int, size: int):
+def _crowds(slacks: list[int], size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cover, copies, homes = Covering(slack), np.zeros(size, np.int64), np.zeros(size, np.int64)
+        copies, homes = np.zeros(size, np.int64), np.zeros(size, np.int64)
         for batch in batches:
             prints = _uint64(batch.columns)
-            for at in range(0, len(prints), 4096):
-                _, cells, home = cover.anchors(prints[at : at + 4096])
+            for at in range(0, len(prints), 2048):
+                _, cells, home = anchors(prints[at : at + 2048], slacks)
                 copies += np.bincount(cells, minlength=size)
                 homes += np.bincount(cells[home], minlength=size)
         cell = np.flatnonzero(copies)
@@ -163,17 +179,17 @@ def _crowds(slack: int, size: int):
     return run
 
 
-def _copies(slack: int, crowds):
+def _copies(slacks: list[int], crowds):
     """Rows (cell, home, words) of the comparison: both sides of a crowded anchor are dealt to a grid of cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cover, (copies, homes) = Covering(slack), crowds.value
+        copies, homes = crowds.value
         down, across = -(-homes // CELL), -(-copies // CELL)
         for batch in batches:
             everything = _uint64(batch.columns)
-            for at in range(0, len(everything), 1024):
-                prints = everything[at : at + 1024]
-                row, cell, home = cover.anchors(prints)
+            for at in range(0, len(everything), 512):
+                prints = everything[at : at + 512]
+                row, cell, home = anchors(prints, slacks)
                 keep = homes[cell] > 0
                 row, cell, home = row[keep], cell[keep], home[keep]
                 own = _mix(node_numbers(prints), 1)
@@ -251,15 +267,15 @@ def links(prints: DataFrame, threshold: int = 4, slack: int | None = None) -> Da
     """
     words = word_names(len(prints.columns))
     prints, blocks = prints.toDF(*words), len(BLOCKS) * len(words)
-    slack = threshold // blocks if slack is None else slack
+    slacks = block_slacks(threshold, blocks) if slack is None else [slack] * blocks
     size = blocks * ANCHORS
-    rows = prints.mapInArrow(_crowds(slack, size), "cell long, copies long, homes long").groupBy("cell").agg(F.sum("copies"), F.sum("homes")).collect()  # one row per anchor: 12,288 for each word at most
+    rows = prints.mapInArrow(_crowds(slacks, size), "cell long, copies long, homes long").groupBy("cell").agg(F.sum("copies"), F.sum("homes")).collect()  # one row per anchor: 12,288 for each word at most
     copies, homes = np.zeros(size, np.int64), np.zeros(size, np.int64)
     for cell, n, h in rows:
         copies[cell], homes[cell] = n, h
     crowds = prints.sparkSession.sparkContext.broadcast((copies, homes))
     schema = "cell long, home boolean, " + ", ".join(f"{w} long" for w in words)
-    dealt = prints.mapInArrow(_copies(slack, crowds), schema).repartition("cell").sortWithinPartitions("cell")
+    dealt = prints.mapInArrow(_copies(slacks, crowds), schema).repartition("cell").sortWithinPartitions("cell")
     return dealt.mapInArrow(_links(threshold), "a long, b long")
 
 

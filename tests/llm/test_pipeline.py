@@ -1,8 +1,10 @@
 """Each stage of the corpus pipeline against brute force over what the stage before kept."""
 
+import itertools
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 import corpus_pipeline as P
@@ -48,6 +50,30 @@ def test_one_of_each_component_stays(stages):
     assert set(low.values()) <= kept  # and none beyond 20
 
 
+def test_pairs_spread_over_all_blocks_are_linked(spark, monkeypatch):
+    from forecourt.llm import simhash
+
+    cover, rng, prints = simhash.Covering(0), np.random.default_rng(5), []
+
+    def home(point):
+        return point ^ int(cover.errors[cover.first[simhash._golay_syndromes(np.array([point]))[0]]])
+
+    for _ in range(100):  # each pair is 20 bits apart, three or four in every block, each print over 5 bits from the other's home
+        pair = np.zeros((2, 2), np.uint64)
+        for (word, (at, width)), n in zip(itertools.product((0, 1), simhash.BLOCKS), rng.permutation([3, 3, 3, 3, 4, 4]).tolist(), strict=True):
+            x = y = 0
+            while min((home(x) ^ y).bit_count(), (home(y) ^ x).bit_count()) <= 5:
+                x = int(rng.integers(1 << width))
+                y = x ^ sum(1 << int(i) for i in rng.choice(width, n, replace=False))
+            pair[:, word] |= np.array([x << at, y << at], np.uint64)
+        prints += list(pair)
+    prints = np.array(prints)
+    rows = [(i, *map(int, r)) for i, r in enumerate(np.column_stack((simhash.node_numbers(prints), prints)).view(np.int64))]
+    monkeypatch.setattr(simhash, "fingerprints", lambda *_: spark.createDataFrame(rows, "doc_id long, fp long, w0 long, w1 long"))
+    kept = P.without_near_duplicates(spark, spark.range(len(rows)).withColumnRenamed("id", "doc_id"), SF)
+    assert {r.doc_id for r in kept.collect()} == set(range(0, len(rows), 2))
+
+
 def test_similar_documents_do_not_both_stay(stages):
     def shingles(text):
         w = text.lower().split()
