@@ -1,25 +1,27 @@
 """SimHash near-duplicates by anchor-point covering.
 
 The 64 fingerprint bits are cut into three coordinate blocks of 21, 22 and 21
-bits. Fingerprints that differ in at most t bits differ in at most t // 3 bits of
-some block. In each block the anchors are the words of the perfect binary Golay
-code of length 23 (blocks are padded with zeros): every point lies within the
-covering radius, 3, of exactly one anchor, its home. A fingerprint is copied to
-every anchor within 3 + t // 3 at most, and home points are compared with the copies per
-anchor: this finds every pair within t. Wider fingerprints are several such words, with
-three blocks each; with `slack` extra bits about the home in each of b blocks, every
-pair within b * (slack + 1) - 1 is found, and most of those a little beyond. Slacks
-may differ by block: a pair that no block finds differs in at least the sum of slack + 1.
-
-Crowded anchors are cut into a grid of bounded cells, each compared by itself, and a
-cell gives a spanning forest of its links, never all pairs.
+bits; wider fingerprints are several such words. In each block the anchors are the
+words of the perfect binary Golay code of length 23 (blocks are padded with zeros):
+every point lies within the covering radius, 3, of exactly one anchor. Two points that
+differ in s bits have a point between them, s // 2 bits from the one and the rest from
+the other, whose anchor is within 3 + s // 2 of the one and 3 + s - s // 2 of the other.
+So with copies at every anchor within the radius and half the slack, any pair that
+differs in at most `slack` bits of a block meets at an anchor. The same holds for
+groups of blocks, whose anchors are tuples. Slacks are chosen so that no pair
+within the threshold can exceed all of them.
+
+Crowded cells are cut into tiles, each compared by itself, and a cell gives a
+spanning forest of its links, never all pairs.
 """
 
 from __future__ import annotations
 
 import functools
 import itertools
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,14 @@ BLOCKS = [(0, 21), (21, 22), (43, 21)]
 GOLAY = 0b101011100011
 RADIUS = 3
 ANCHORS = 1 << 12
-#: Points of either side in one cell of the comparison, about.
-CELL = 2048
+#: Rows of a cell's side, about, above which it is cut into tiles: a bound on a task's work, not on results.
+CELL = 1 << 15
+#: One fingerprint in so many is counted to find crowded cells.
+SAMPLE = 16
+#: Nanoseconds that a copy and a comparison of a word take, about; they only choose between equal results.
+COPY_NS, COMPARE_NS = 2000.0, 4.0
+#: Copies of a fingerprint that anchors of two blocks may make.
+MOST_COPIES = 64
 
 
 def shingle_hashes(text: bytes, k: int) -> np.ndarray:
@@ -109,43 +117,100 @@ def _golay_syndromes(words: np.ndarray) -> np.ndarray:
 
 
 class Covering:
-    """For each syndrome the error patterns of at most RADIUS + slack bits, home first."""
+    """For each syndrome the error patterns of at most RADIUS + extra bits, nearest first, and how many bits over RADIUS each has."""
 
-    def __init__(self, slack: int):
-        shapes = [sum(1 << i for i in c) for w in range(RADIUS + slack + 1) for c in itertools.combinations(range(23), w)]
-        errors = np.array(shapes, np.int64)
+    def __init__(self, extra: int):
+        sizes = range(RADIUS + extra + 1)
+        shapes = [np.array([sum(1 << i for i in c) for c in itertools.combinations(range(23), w)], np.int64) for w in sizes]
+        errors, over = np.concatenate(shapes), np.concatenate([np.full(len(x), max(0, w - RADIUS), np.int8) for w, x in zip(sizes, shapes, strict=True)])
         syndromes = _golay_syndromes(errors)
         order = np.argsort(syndromes, kind="stable")
-        self.errors, self.first = errors[order], np.searchsorted(syndromes[order], np.arange(2049))
+        self.errors, self.over, self.first = errors[order], over[order], np.searchsorted(syndromes[order], np.arange(2049))
 
 
 @functools.cache
-def _covering(slack: int) -> Covering:
+def _covering(extra: int) -> Covering:
     """The covering, made once in each Python worker."""
-    return Covering(slack)
+    return Covering(extra)
 
 
-def anchors(prints: np.ndarray, slacks: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row of the print, cell number (block and anchor) and whether it is the print's home, for all copies; a slack for each block."""
-    rows, cells, homes = [], [], []
-    for number, (word, (at, width)) in enumerate(itertools.product(range(prints.shape[1]), BLOCKS)):
-        cover = _covering(slacks[number])
-        points = ((prints[:, word] >> np.uint64(at)) & np.uint64((1 << width) - 1)).astype(np.int64)
-        syndrome = _golay_syndromes(points)
-        first, n = cover.first[syndrome], cover.first[syndrome + 1] - cover.first[syndrome]
-        row = np.repeat(np.arange(len(prints)), n)
-        step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        code = points[row] ^ cover.errors[first[row] + step]
-        rows.append(row)
-        cells.append(number * ANCHORS + (code >> 11))
-        homes.append(step == 0)
-    return tuple(map(np.concatenate, (rows, cells, homes)))
+def _around(points: np.ndarray, extra: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row of the point, anchor (12 bits) and bits over RADIUS, for all anchors within RADIUS + extra of points of 23 bits."""
+    cover = _covering(extra)
+    syndrome = _golay_syndromes(points)
+    first, n = cover.first[syndrome], cover.first[syndrome + 1] - cover.first[syndrome]
+    row = np.repeat(np.arange(len(points)), n)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + first[row]
+    return row, (points[row] ^ cover.errors[at]) >> 11, cover.over[at]
 
 
-def block_slacks(threshold: int, blocks: int) -> list[int]:
-    """Extra bits about the homes, by block, that find all pairs within the threshold: with each slack one more, they add up to over it."""
-    each, more = divmod(threshold + 1, blocks)
-    return [max(0, each - (i >= more)) for i in range(blocks)]
+@dataclass(frozen=True)
+class Scheme:
+    """Groups of coordinate blocks, and for each group the bits in which a pair may differ there and be found."""
+
+    groups: tuple[tuple[int, ...], ...]
+    slacks: tuple[int, ...]
+
+    def copies(self) -> float:
+        """Copies of a fingerprint, on average."""
+        return sum(_volume(len(g), s - s // 2) for g, s in zip(self.groups, self.slacks, strict=True))
+
+    def pairs(self) -> float:
+        """Comparisons for each pair of random fingerprints."""
+        out = 0.0
+        for g, s in zip(self.groups, self.slacks, strict=True):
+            near, all_ = _volume(len(g), s // 2), _volume(len(g), s - s // 2)
+            out += (near * all_ - near * near / 2) / ANCHORS ** len(g)
+        return out
+
+
+def _volume(blocks: int, extra: int) -> float:
+    """Anchors, on average, whose distances from a point's blocks exceed RADIUS by `extra` bits in all at most."""
+    shells = np.array([math.comb(23, RADIUS + e) if e else sum(math.comb(23, w) for w in range(RADIUS + 1)) for e in range(extra + 1)]) / 2048
+    sums = np.ones(1)
+    for _ in range(blocks):
+        sums = np.convolve(sums, shells)[: extra + 1]
+    return float(sums.sum())
+
+
+def _shares(total: int, groups: int) -> tuple[int, ...]:
+    """Slacks whose sum, with one more for each group, exceeds the total: no pair can exceed all of them."""
+    each, more = divmod(total + 1, groups)
+    return tuple(max(0, each - (i >= more)) for i in range(groups))
+
+
+def scheme(words: int, threshold: int, n: int) -> Scheme:
+    """The cheaper of two ways to find all pairs within the threshold among n fingerprints.
+
+    Anchors of single blocks make few copies but long comparisons; anchors of two blocks at
+    once (all pairs of the three blocks of a word, so that each block is in two groups) make more
+    copies, of which 4,096 times fewer meet. Both find every pair; only n decides. The second is
+    for small thresholds: beyond `MOST_COPIES` copies it is not taken.
+    """
+    single = tuple((b,) for b in range(3 * words))
+    double = tuple((3 * w + i, 3 * w + j) for w in range(words) for i, j in ((0, 1), (0, 2), (1, 2)))
+    ways = [Scheme(single, _shares(threshold, len(single))), Scheme(double, _shares(2 * threshold, len(double)))]
+    return min((w for w in ways if w is ways[0] or w.copies() <= MOST_COPIES), key=lambda s: n * s.copies() * COPY_NS + float(n) * n * s.pairs() * words * COMPARE_NS)
+
+
+def anchors(prints: np.ndarray, way: Scheme) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row of the print, cell (group and anchors) and whether it is a near copy, for all copies, group by group."""
+    blocks = list(itertools.product(range(prints.shape[1]), BLOCKS))
+    for number, (group, slack) in enumerate(zip(way.groups, way.slacks, strict=True)):
+        low, high = slack // 2, slack - slack // 2
+        row, cell, over = np.arange(len(prints)), np.full(len(prints), number, np.int64), np.zeros(len(prints), np.int8)
+        for b in group:
+            word, (at, width) = blocks[b]
+            points = ((prints[:, word] >> np.uint64(at)) & np.uint64((1 << width) - 1)).astype(np.int64)
+            own, code, more = _around(points, high)
+            n, firsts = np.bincount(own, minlength=len(prints)), np.searchsorted(own, np.arange(len(prints)))
+            times = n[row]
+            old = np.repeat(np.arange(len(row)), times)
+            new = np.arange(len(old)) - np.repeat(np.cumsum(times) - times, times) + firsts[row[old]]
+            total = over[old] + more[new]
+            keep = total <= high
+            row, cell, over = row[old[keep]], cell[old[keep]] << 12 | code[new[keep]], total[keep]
+        yield row, cell, over <= low
 
 
 def _mix(x: np.ndarray, seed: int) -> np.ndarray:
@@ -164,66 +229,87 @@ def _uint64(columns: list[pa.Array]) -> np.ndarray:
     return np.stack([c.to_numpy(zero_copy_only=False).view(np.uint64) for c in columns], 1)
 
 
-def _crowds(slacks: list[int], size: int):
+def _copies(way: Scheme, one_in: int = 1):
+    """Rows (key, words) for all copies of the prints, or of one print in so many: the key is the cell, a bit for a tile's side, and one for near copies."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        copies, homes = np.zeros(size, np.int64), np.zeros(size, np.int64)
         for batch in batches:
-            prints = _uint64(batch.columns)
-            for at in range(0, len(prints), 2048):
-                _, cells, home = anchors(prints[at : at + 2048], slacks)
-                copies += np.bincount(cells, minlength=size)
-                homes += np.bincount(cells[home], minlength=size)
-        cell = np.flatnonzero(copies)
-        yield pa.RecordBatch.from_pydict({"cell": cell, "copies": copies[cell], "homes": homes[cell]})
+            everything = _uint64(batch.columns)
+            if one_in > 1:
+                everything = everything[_mix(node_numbers(everything), 2) % np.uint64(one_in) == 0]
+            for at in range(0, len(everything), 1024):
+                prints = everything[at : at + 1024]
+                for row, cell, near in anchors(prints, way):
+                    words = prints[row].view(np.int64)
+                    yield pa.RecordBatch.from_pydict({"key": cell << 2 | near} | {f"w{n}": np.ascontiguousarray(words[:, n]) for n in range(words.shape[1])})
 
     return run
 
 
-def _copies(slacks: list[int], crowds):
-    """Rows (cell, home, words) of the comparison: both sides of a crowded anchor are dealt to a grid of cells."""
+class Joined:
+    """Labels of points that are joined by links."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        copies, homes = crowds.value
-        down, across = -(-homes // CELL), -(-copies // CELL)
-        for batch in batches:
-            everything = _uint64(batch.columns)
-            for at in range(0, len(everything), 512):
-                prints = everything[at : at + 512]
-                row, cell, home = anchors(prints, slacks)
-                keep = homes[cell] > 0
-                row, cell, home = row[keep], cell[keep], home[keep]
-                own = _mix(node_numbers(prints), 1)
-                for is_home, pick in ((True, home), (False, np.ones(len(row), bool))):
-                    r, c = row[pick], cell[pick]
-                    fixed, free = (down, across) if is_home else (across, down)
-                    times = free[c]
-                    mine = np.repeat((own[r] % fixed[c].astype(np.uint64)).astype(np.int64), times)
-                    other = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                    i, j = (mine, other) if is_home else (other, mine)
-                    whole = prints[np.repeat(r, times)].view(np.int64)
-                    columns = {f"w{n}": np.ascontiguousarray(whole[:, n]) for n in range(whole.shape[1])}
-                    yield pa.RecordBatch.from_pydict({"cell": (np.repeat(c, times) << 40) | (i << 20) | j, "home": np.full(len(i), is_home)} | columns)
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Joins a[i] with b[i] for all i: the larger root goes below the smaller, until no pair is apart."""
+        label = self.label
+        while True:
+            x, y = label[a], label[b]
+            apart = x != y
+            if not apart.any():
+                return
+            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+            np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+            while (label != (up := label[label])).any():
+                label[:] = up
 
-    return run
 
+def forest(prints: np.ndarray, near: np.ndarray, side: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (from, to), as node numbers, that join the same points of a cell as all its pairs within the threshold do.
 
-def forest(homes: np.ndarray, copies: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (from, to), as node numbers, that join the same points as all pairs of a home and a copy within the threshold do."""
-    of_home, of_copy = node_numbers(homes), node_numbers(copies)
-    points = np.unique(np.concatenate((of_home, of_copy)))
-    label, at_copy = np.arange(len(points)), np.searchsorted(points, of_copy)
-    at_home = np.searchsorted(points, of_home)
-    step = max(1, (1 << 20) // max(1, len(copies)))
-    for a in range(0, len(homes), step):
-        apart = sum(np.bitwise_count(homes[a : a + step, None, i] ^ copies[None, :, i]) for i in range(homes.shape[1]))
-        near = (apart <= threshold) & (apart > 0)  # a home's own copy may lie in another cell
-        for i in np.flatnonzero(near.any(1)):
-            met = np.append(label[at_copy[near[i]]], label[at_home[a + i]])
-            low = met.min()
-            if (met != low).any():
-                label[np.isin(label, met)] = low
-    linked = np.flatnonzero(label != np.arange(len(points)))
-    return points[linked], points[label[linked]]
+    Of a pair, one at least is a near copy; in a tile of two sides, one is of either.
+    """
+    numbers, joined = node_numbers(prints), Joined(len(prints))
+    first = np.flatnonzero(near)
+    step = max(1, (1 << 20) // len(prints))
+    two = side.any() and not side.all()
+    for at in range(0, len(first), step):
+        some = first[at : at + step]
+        apart = sum(np.bitwise_count(prints[some, None, i] ^ prints[None, :, i]) for i in range(prints.shape[1]))
+        met = apart <= threshold
+        if two:
+            met &= side[some, None] != side[None, :]
+        met &= joined.label[some, None] != joined.label[None, :]
+        a, b = np.nonzero(met)
+        joined.join(some[a], b)
+    linked = np.flatnonzero(joined.label != np.arange(len(prints)))
+    return numbers[linked], numbers[joined.label[linked]]
+
+
+#: Cells of at most so many rows are compared together, by distance in the sorted rows.
+SHORT = 32
+
+
+def cell_links(cell: np.ndarray, prints: np.ndarray, near: np.ndarray, side: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of many whole cells; `cell` is sorted."""
+    cuts = np.concatenate(([0], np.flatnonzero(np.diff(cell)) + 1, [len(cell)]))
+    length = np.diff(cuts)
+    found = []
+    for a, b in zip(cuts[:-1][length > SHORT].tolist(), cuts[1:][length > SHORT].tolist(), strict=True):
+        found.append(forest(prints[a:b], near[a:b], side[a:b], threshold))
+    short = np.flatnonzero(np.repeat((length > 1) & (length <= SHORT), length))
+    cell, prints, near, side = cell[short], prints[short], near[short], side[short]
+    numbers = node_numbers(prints)
+    for lag in range(1, SHORT):
+        same = np.flatnonzero(cell[lag:] == cell[:-lag])
+        if not len(same):
+            break
+        apart = sum(np.bitwise_count(prints[same, i] ^ prints[same + lag, i]) for i in range(prints.shape[1]))
+        met = same[(apart <= threshold) & (near[same] | near[same + lag])]
+        found.append((numbers[met], numbers[met + lag]))
+    return tuple(np.concatenate([f[i] for f in found] or [np.empty(0, np.uint64)]) for i in range(2))
 
 
 def _links(threshold: int):
@@ -231,66 +317,74 @@ def _links(threshold: int):
         rest: list[tuple] = []
 
         def joined(parts):
-            cell, fp, home = (np.concatenate([p[i] for p in parts]) for i in range(3))  # fp: rows of words
-            cuts = np.flatnonzero(np.diff(cell)) + 1
-            found = []
-            for a, b in zip(np.concatenate(([0], cuts)), np.concatenate((cuts, [len(cell)])), strict=True):
-                mine, is_home = fp[a:b], home[a:b]
-                if is_home.any() and not is_home.all():
-                    found.append(forest(mine[is_home], mine[~is_home], threshold))
-            x, y = (np.concatenate([f[i] for f in found] or [np.empty(0, np.uint64)]) for i in range(2))
+            x, y = cell_links(*(np.concatenate([p[i] for p in parts]) for i in range(4)), threshold)
             return pa.RecordBatch.from_pydict({"a": x.view(np.int64), "b": y.view(np.int64)})
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cell, home, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), _uint64(batch.columns[2:])
-            cut = np.searchsorted(cell, cell[-1])  # the last cell may go on in the next batch
-            if cut:
-                yield joined([*rest, (cell[:cut], fp[:cut], home[:cut])])
-                rest = []
-            elif rest and rest[-1][0][-1] != cell[0]:
+            key, tile = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            # Rows are sorted by cell and tile; they are numbered by the changes of either, on from the batch before.
+            place = np.stack((key >> 2, tile), 1)
+            cell = np.concatenate(([0], np.cumsum((np.diff(place, axis=0) != 0).any(1))))
+            if rest and (rest[-1][4] != place[0]).any():
                 yield joined(rest)
                 rest = []
-            rest.append((cell[cut:], fp[cut:], home[cut:]))
+            rows = (cell, _uint64(batch.columns[2:]), key & 1 > 0, key & 2 > 0)
+            cut = int(np.searchsorted(cell, cell[-1]))  # the last cell may go on in the next batch
+            if cut:
+                head = tuple(x[:cut] for x in rows)
+                yield joined([*((np.zeros_like(r[0]), *r[1:4]) for r in rest), head])
+                rest = []
+            rest.append((np.zeros(len(cell) - cut, np.int64), *(x[cut:] for x in rows[1:]), place[-1]))
         if rest:
             yield joined(rest)
 
     return run
 
 
-def links(prints: DataFrame, threshold: int = 4, slack: int | None = None) -> DataFrame:
+def links(prints: DataFrame, threshold: int = 4, way: Scheme | None = None) -> DataFrame:
     """Links (a, b), as fingerprints' numbers, that connect all distinct ones (the columns are their words) that differ in at most `threshold` bits.
 
-    A smaller slack than the default finds all pairs within blocks * (slack + 1) - 1 bits, and
-    of those beyond, up to the threshold, the ones that share an anchor.
+    `way` is chosen by the number of fingerprints, if it is not given. Cells with many
+    copies, by a count of one fingerprint in `SAMPLE`, are cut into tiles of about `CELL`
+    rows a side, each compared with each; a cell that the count misses is compared as a whole.
     """
     words = word_names(len(prints.columns))
-    prints, blocks = prints.toDF(*words), len(BLOCKS) * len(words)
-    slacks = block_slacks(threshold, blocks) if slack is None else [slack] * blocks
-    size = blocks * ANCHORS
-    rows = prints.mapInArrow(_crowds(slacks, size), "cell long, copies long, homes long").groupBy("cell").agg(F.sum("copies"), F.sum("homes")).collect()  # one row per anchor: 12,288 for each word at most
-    copies, homes = np.zeros(size, np.int64), np.zeros(size, np.int64)
-    for cell, n, h in rows:
-        copies[cell], homes[cell] = n, h
-    crowds = prints.sparkSession.sparkContext.broadcast((copies, homes))
-    schema = "cell long, home boolean, " + ", ".join(f"{w} long" for w in words)
-    dealt = prints.mapInArrow(_copies(slacks, crowds), schema).repartition("cell").sortWithinPartitions("cell")
+    prints = prints.toDF(*words)
+    way = way or scheme(len(words), threshold, prints.count())
+    schema = "key long, " + ", ".join(f"{w} long" for w in words)
+    cell = F.shiftright("key", 2)
+    some = prints.mapInArrow(_copies(way, SAMPLE), schema).groupBy(cell.alias("crowd")).count().where(F.col("count") * SAMPLE > CELL)
+    crowds = written(some.select("crowd", F.ceil(F.col("count") * SAMPLE / CELL).alias("sides")), "crowds")
+    dealt = prints.mapInArrow(_copies(way), schema)
+    if crowds.isEmpty():
+        dealt = dealt.repartition(cell).sortWithinPartitions("key").select("key", F.lit(0).cast("long").alias("tile"), *words)
+    else:
+        sides = F.coalesce("sides", F.lit(1).cast("long"))
+        met = dealt.join(crowds, cell == F.col("crowd"), "left").withColumn("own", F.pmod(F.xxhash64(*words), sides))
+        met = met.select("key", *words, "own", sides.alias("sides"), F.explode(F.sequence(F.lit(0).cast("long"), sides - 1)).alias("other"))
+        # Tile (i, j) holds the rows of i and j, those of the larger marked.
+        tile, marked = F.least("own", "other") * F.col("sides") + F.greatest("own", "other"), F.when(F.col("own") > F.col("other"), 2).otherwise(0)
+        met = met.select(F.col("key").bitwiseOR(marked).alias("key"), tile.alias("tile"), *words)
+        dealt = met.repartition(cell, F.col("tile")).sortWithinPartitions(cell, "tile")
     return dealt.mapInArrow(_links(threshold), "a long, b long")
 
 
 def connected(edges: DataFrame) -> DataFrame:
     """node, root for every node of the links (a, b) of longs: root is the smallest node reachable.
 
-    Each round every node hooks to its smallest neighbour and the links are drawn
-    again between those, until none is left; only joins and sums, nothing is
-    gathered. Self-links and repeats are allowed.
+    Each round every node hooks to its smallest neighbour, the hooks are followed to
+    their ends by pointer jumping, and the links are drawn again between those; at
+    least half of the nodes that have links left vanish in a round, and a path of n hooks
+    takes log2 n jumps. Only joins and sums, nothing is gathered. Self-links and repeats are allowed.
     """
     edges = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     labels = None
     while not edges.isEmpty():
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hooks = written(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("root")), "hooks")
+        low = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("root"))
+        hooks = jumped(written(low, "hooks"))
         to_a, to_b = (hooks.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
         drawn = edges.join(to_a, "a").join(to_b, "b").select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b"))
         if labels is None:
@@ -302,7 +396,19 @@ def connected(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")) if labels is None else labels
 
 
-def near_duplicates(docs: DataFrame, threshold: int = 4, k: int = 4, words: int = 1, slack: int | None = None) -> DataFrame:
+def jumped(hooks: DataFrame) -> DataFrame:
+    """node, root of a forest of hooks, each followed to its end: every jump halves all paths."""
+    while True:
+        # Only nodes that are not roots themselves can be jumped over.
+        onward = hooks.where("node <> root").select(F.col("node").alias("root"), F.col("root").alias("next"))
+        far = hooks.join(onward, "root", "left").select("node", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved"))
+        far = written(far, "hooks")
+        hooks = far.select("node", "root")
+        if far.where("moved").isEmpty():
+            return hooks
+
+
+def near_duplicates(docs: DataFrame, threshold: int = 4, k: int = 4, words: int = 1) -> DataFrame:
     """doc_id, fingerprint (16 hex digits a word), component_id for every row of docs (doc_id, text; others are ignored).
 
     component_id is the smallest doc_id reachable over links of at most `threshold`
@@ -314,7 +420,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 4, k: int = 4, words: int
     prints = written(fingerprints(docs, k, words), "prints")
     names = word_names(words)
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), *(F.min(w).alias(w) for w in names)), "nodes")
-    roots = connected(links(nodes.select(*names), threshold, slack))
+    roots = connected(links(nodes.select(*names), threshold))
     members = written(roots.withColumnRenamed("node", "fp").join(nodes, "fp"), "members")
     lowest = members.groupBy("root").agg(F.min("low").alias("lowest"))
     classes = written(members.join(written(lowest, "lowest"), "root").select("fp", "lowest"), "classes")
@@ -323,13 +429,13 @@ def near_duplicates(docs: DataFrame, threshold: int = 4, k: int = 4, words: int
     return prints.join(known, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, threshold: int = 4, k: int = 4, words: int = 1, slack: int | None = None) -> DataFrame:
+def one_of_each(docs: DataFrame, threshold: int = 4, k: int = 4, words: int = 1) -> DataFrame:
     """The rows of docs without near-duplicates: of each component that with the smallest doc_id stays.
 
     Columns stay as they are. Rows with a null doc_id stay; of rows that share the
     id that stays, one stays.
     """
-    groups = written(near_duplicates(docs, threshold, k, words, slack), "groups")
+    groups = written(near_duplicates(docs, threshold, k, words), "groups")
     removed = written(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("removed_id")).distinct(), "removed")
     kept = docs.join(removed, docs["doc_id"] == removed["removed_id"], "left_anti")
     repeated = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("repeated_id"))
