@@ -14,10 +14,12 @@ _LOCAL: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see: the session's spark.checkpoint.dir.
 
-    Only where it is unset (local tests) a temporary folder is made.
+    Only where it is unset and all runs in one process (local tests) a temporary folder is made.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         app = spark.sparkContext.applicationId
         if app not in _LOCAL:
             _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="forecourt-")
@@ -36,12 +38,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/forecourt/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-#: Files of an intermediate table for each of the cluster's task slots, at most.
+#: Files of an intermediate table for each of the cluster's task slots, if it is small.
 FILES_PER_SLOT = 4
 
 
-def slot_files(spark: SparkSession) -> int:
-    return FILES_PER_SLOT * spark.sparkContext.defaultParallelism
+def files_for(df: DataFrame) -> int:
+    """Files to write df into: some for each task slot, and more where the optimizer's estimate has more bytes than the session reads in a task."""
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    unit = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return max(FILES_PER_SLOT * spark.sparkContext.defaultParallelism, min(-(-size // unit), 1 << 20))
 
 
 def written(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
@@ -49,11 +55,11 @@ def written(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
 
     Cuts lineage so that a lost executor never repeats the work above, and gives
     the optimizer the table's real size, by which it chooses how to join. Neighbouring
-    partitions are written into one file where there are many more of them than task
-    slots; a table of a few rows takes one file.
+    partitions are written into one file where there are many more of them than `files_for`
+    says, so a task's share does not grow with the table; a table of a few rows takes one file.
     """
     path = new_path(df.sparkSession, name)
-    df.coalesce(files or slot_files(df.sparkSession)).write.parquet(path)
+    df.coalesce(files or files_for(df)).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

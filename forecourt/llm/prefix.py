@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from .common import partitions, slot_files, small_batches, written
+from .common import files_for, partitions, small_batches, written
 
 #: Ranges up to this number are written into a file each.
 FILES = 64
@@ -61,7 +61,7 @@ def running_sums(df: DataFrame, order: list, size: str, group: str | None = None
     schema = StructType(list(ranged.schema.fields))
     for name in ("_start", "_rank"):
         schema = schema.add(name, LongType())
-    sums = written(ranged.mapInArrow(_local_sums(df.columns.index(group) if group else None, df.columns.index(size)), schema), "ranges", files=max(slot_files(spark), FILES, partitions(spark) // 4))  # rows may be wide: a task writes few ranges
+    sums = written(ranged.mapInArrow(_local_sums(df.columns.index(group) if group else None, df.columns.index(size)), schema), "ranges", files=max(files_for(df), FILES, partitions(spark) // 4))  # rows may be wide: a task writes few ranges
     by = [*([F.col(group).alias("_of")] if group else [F.lit(0).cast("long").alias("_of")]), F.col("_part").alias("_at")]
     totals = sums.groupBy(*by).agg(F.sum(size).alias("_size"), F.count("*").alias("_rows"))
     from pyspark.sql import Window
