@@ -4,20 +4,22 @@ Words of benchmark items and documents are hashed; every run of `MATCH` words th
 document shares with an item is a seed (a broadcast hash join: the items are handled
 in blocks of at most `BLOCK_WORDS` words, so what is broadcast is bounded). Where the seeds
 could reach the threshold, the item is tiled: the longest common run of words that no
-tile covers yet becomes a tile, again and again (running Karp-Rabin: all seeds are
-equal rolling hashes, extended on equal words). An item counts as found if tiles cover
-enough of it, in whatever order its passages stand.
+tile covers yet becomes a tile, again and again (running Karp-Rabin: the longest length at
+which equal rolling hashes are left is searched by halving, and all of that length are tiled
+before a shorter one is tried). An item counts as found if tiles cover enough of it, in
+whatever order its passages stand. Memory is in proportion to the text and the item,
+however often their words repeat.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import small_batches, utf8, written
 
@@ -61,6 +63,22 @@ class Words:
         return (word ^ (word >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
 
 
+class Runs:
+    """Karp-Rabin hashes of the runs of words of a text, of any length, by prefix sums."""
+
+    def __init__(self, words: np.ndarray):
+        with np.errstate(over="ignore"):
+            self.power = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(words), _ODD, np.uint64))))
+            inverse = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(words), pow(int(_ODD), -1, 1 << 64), np.uint64))))
+            # The prefixes' hashes, divided by a power for their length, so that they are plain sums.
+            self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * inverse[1:])))
+
+    def of(self, n: int) -> np.ndarray:
+        """Hashes of all runs of n words, by their starts."""
+        at = np.arange(max(0, len(self.sums) - n))
+        return (self.sums[at + n] - self.sums[at]) * self.power[at] * self.power[n] if len(at) else np.zeros(0, np.uint64)
+
+
 def rolling(words: np.ndarray, n: int) -> np.ndarray:
     """Karp-Rabin hashes of all runs of n words."""
     out = np.zeros(max(0, len(words) - n + 1), np.uint64)
@@ -69,34 +87,55 @@ def rolling(words: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def tiles(doc: np.ndarray, item: np.ndarray, at_doc: np.ndarray, at_item: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """Greedy tiling: (start in doc, start in item, length), longest first, none overlapping, from seeds of `least` words.
+def _free(used: np.ndarray, n: int) -> np.ndarray:
+    """Starts of the runs of n words of which none is used."""
+    sums = np.concatenate(([0], np.cumsum(used)))
+    return np.flatnonzero(sums[n:] == sums[: len(sums) - n])
+
+
+def tiles(doc: np.ndarray, item: np.ndarray, least: int, barred: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """Greedy tiling: (start in doc, start in item, length), longest first, none overlapping, none shorter than `least` or over a barred word of doc.
 
     Ties go to the smaller start in the document, then in the item.
     """
-    order = np.lexsort((at_item, at_doc - at_item))
-    i, j = at_doc[order], at_item[order]
-    cut = np.flatnonzero((np.diff(i - j) != 0) | (np.diff(j) != 1)) + 1
-    first, last = np.concatenate(([0], cut)), np.concatenate((cut, [len(i)])) - 1
-    # Seeds in a row on one diagonal are one maximal match.
-    heap = [(-(int(j[b] - j[a]) + least), int(i[a]), int(j[a])) for a, b in zip(first, last, strict=True) if len(i)]
-    heapq.heapify(heap)
-    in_doc, in_item, found = np.zeros(len(doc), bool), np.zeros(len(item), bool), []
-    while heap:
-        n, a, b = heapq.heappop(heap)
-        n = -n
-        covered = in_doc[a : a + n] | in_item[b : b + n]
-        if covered.any():
-            edge = np.flatnonzero(np.diff(np.concatenate(([True], covered, [True])).view(np.int8)))
-            for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-                if e - s >= least:
-                    heapq.heappush(heap, (s - e, a + s, b + s))
-            continue
-        in_doc[a : a + n] = True
-        in_item[b : b + n] = True
-        found.append((a, b, n))
-        if in_item.all():
+    in_doc, in_item, found = np.zeros(len(doc), bool) if barred is None else barred.copy(), np.zeros(len(item), bool), []
+    runs_doc, runs_item = Runs(doc), Runs(item)
+
+    def common(n: int) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+        """Free starts in doc whose run is free in item too, all hashes in doc, and free starts in item with their hashes, sorted."""
+        hashes, at = runs_doc.of(n), _free(in_item, n)
+        own = runs_item.of(n)[at]
+        order = np.argsort(own, kind="stable")
+        own, at, some = own[order], at[order], _free(in_doc, n)
+        if not len(own):
+            return [], hashes, own, at
+        place = np.minimum(np.searchsorted(own, hashes[some]), len(own) - 1)
+        return some[own[place] == hashes[some]].tolist(), hashes, own, at
+
+    top = min(len(doc), len(item))
+    while top >= least:
+        low, high = least - 1, top  # a common run of low words is left, or low is too short; none of more than high
+        while low < high:
+            n = (low + high + 1) // 2
+            low, high = (n, high) if common(n)[0] else (low, n - 1)
+        if (top := low) < least:
             break
+        some, hashes, own, at = common(top)
+        left = {}
+        for h, b in zip(own.tolist(), at.tolist(), strict=True):
+            left.setdefault(h, []).append(b)
+        for a in some:
+            if not (starts := left.get(int(hashes[a]))) or in_doc[a : a + top].any():
+                continue
+            starts[:] = [b for b in starts if not in_item[b : b + top].any()]
+            b = next((b for b in starts if np.array_equal(doc[a : a + top], item[b : b + top])), None)
+            if b is not None:
+                in_doc[a : a + top] = True
+                in_item[b : b + top] = True
+                found.append((a, b, top))
+                if in_item.all():
+                    return found
+        top -= 1  # what is left of this length has been tried: no run of it is free in both
     return found
 
 
@@ -127,29 +166,40 @@ class Items:
             h, item, at, marks = self.seeds[n]
             runs = rolling(doc, n)
             some = np.flatnonzero(marks[(runs >> np.uint64(44)).astype(np.int64)])
-            low, high = np.searchsorted(h, runs[some]), np.searchsorted(h, runs[some], side="right")
-            times = high - low
-            if not times.sum():
+            low = np.searchsorted(h, runs[some])
+            met = low < len(h)
+            met[met] = h[low[met]] == runs[some][met]
+            some = some[met]
+            if not len(some):
                 continue
-            at_doc = np.repeat(some, times)
-            seed = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(low, times)
+            # Every seed of the items counts once, however often the document has it.
+            own = np.unique(runs[some])
+            low, high = np.searchsorted(h, own), np.searchsorted(h, own, side="right")
+            seed = np.concatenate([np.arange(a, b) for a, b in zip(low.tolist(), high.tolist(), strict=True)])
             for k in np.unique(item[seed]):
-                mine = item[seed] == k
-                a, b, size = at_doc[mine], at[seed[mine]], len(self.words[k])
+                mine = seed[item[seed] == k]
+                b, size = at[mine], len(self.words[k])
                 reach = np.zeros(size + 1, np.int64)
-                np.add.at(reach, np.unique(b), 1)
-                np.add.at(reach, np.unique(b) + n, -1)
+                reach[b] += 1
+                reach[b + n] -= 1
                 if (np.cumsum(reach)[:size] > 0).sum() < self.coverage * size:
                     continue
-                same = np.all([doc[a + d] == self.words[k][b + d] for d in range(n)], axis=0)
-                got = tiles(doc, self.words[k], a[same], b[same], n)
+                # Only the stretches of the document that hold the item's seeds, each with a barred word after it.
+                starts = some[np.isin(runs[some], h[mine])]
+                inside = np.zeros(len(doc) + 1, np.int64)
+                inside[starts] += 1
+                inside[starts + n] -= 1
+                words = np.flatnonzero(np.cumsum(inside)[: len(doc)] > 0)
+                gaps = np.flatnonzero(np.diff(words) > 1) + 1
+                places = np.insert(words, gaps, -1)
+                got = [(int(places[x]), y, m) for x, y, m in tiles(np.where(places < 0, np.uint64(0), doc[places]), self.words[k], n, places < 0)]
                 covered = sum(t[2] for t in got)
                 if covered >= self.coverage * size:
                     out.append((self.ids[k], covered, size, got))
         return out
 
 
-def _find(shared):
+def _find(shared, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, items = Words(), Items(*shared.value)
         for batch in batches:
@@ -157,7 +207,7 @@ def _find(shared):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())),
-                    pa.array([r[1] for r in rows], pa.int64()),
+                    pa.array([r[1] for r in rows], kind),
                     pa.array([r[2] for r in rows], pa.int64()),
                     pa.array([r[3] for r in rows], pa.int64()),
                     pa.array([[{"doc_at": a, "item_at": b, "words": n} for a, b, n in r[4]] for r in rows], pa.list_(pa.struct({"doc_at": pa.int64(), "item_at": pa.int64(), "words": pa.int64()}))),
@@ -178,17 +228,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least: int = MATCH, cov
     """
     spark = docs.sparkSession
     small_batches(spark)
-    own = benchmark.select(F.col("item_id").cast("long"), utf8("text").alias("text")).where("text is not null").distinct()
+    own = benchmark.select("item_id", utf8("text").alias("text")).where("text is not null").distinct()
     # Items are dealt to blocks by hash; a block's words, and so its bytes, are bounded by the longest text besides.
     n = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-n // (6 * block_words)))
     own = written(own.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks))), "items", files=1)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, item_id long, covered long, words long, tiles array<struct<doc_at long, item_at long, words long>>"
+    item_type = benchmark.schema["item_id"].dataType
+    schema = f"doc_id {kind}, item_id {item_type.simpleString()}, covered long, words long, tiles array<struct<doc_at long, item_at long, words long>>"
     source, found = docs.select("doc_id", utf8("text").alias("text")), None
     for k in range(blocks):
         rows = sorted((tuple(r) for r in own.where(F.col("block") == k).select("item_id", "text").collect()), key=lambda r: (r[0] is None, r))
-        part = source.mapInArrow(_find(spark.sparkContext.broadcast((rows, least, coverage))), schema)
+        part = source.mapInArrow(_find(spark.sparkContext.broadcast((rows, least, coverage)), to_arrow_type(item_type)), schema)
         part = part if blocks == 1 else written(part, "found")
         found = part if found is None else found.union(part)
     return found
@@ -206,9 +257,9 @@ def _keep(shared):
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = MATCH, coverage: float = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of docs, all columns as they are, in which no item is found."""
+    """The rows of docs, all columns as they are, in which no item is found (see `contamination`); null texts stay."""
     small_batches(docs.sparkSession)
-    own = benchmark.select(F.col("item_id").cast("long"), utf8("text").alias("text")).where("text is not null").distinct()
+    own = benchmark.select("item_id", utf8("text").alias("text")).where("text is not null").distinct()
     n = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-n // (6 * block_words)))
     for k in range(blocks):
