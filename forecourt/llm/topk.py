@@ -4,11 +4,13 @@ Vectors lie dimension by dimension. Per query and batch, scores are accumulated
 blocks of dimensions; after each block, candidates whose score so far plus the most
 that the remaining dimensions can add (the product of the remaining norms) stays
 below the k-th best so far are dropped, and the rest is compacted. Queries are handled in
-blocks of bounded number against all rows.
+blocks of bounded number against all rows; the k-th best scores among a sample of a block's
+own queries are lower bounds with which every task begins.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,10 +27,18 @@ STEP = 16
 QUERIES = 4096
 #: Rows handled at once.
 ROWS = 8192
+#: Queries of a block that give the first lower bounds.
+SAMPLE = 512
+#: Products of norms below this cannot overflow a long, nor any partial sum.
+SAFE = 2.0**62
+LEAST, MOST = -(2**63), 2**63 - 1
 
 
-def _scaled(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """Dimension-major matrix of floor(SCALE * x), shorter vectors filled with zeros, and which vectors take part."""
+def _scaled(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Dimension-major matrix of x, shorter vectors filled with zeros, that of floor(SCALE * x) as longs, and which vectors take part.
+
+    Numbers beyond 2^62 stand for larger ones there; their vectors are scored by `exact`.
+    """
     n = len(column)
     length = np.asarray(column.value_lengths().fill_null(-1))
     flat = column.flatten()
@@ -37,10 +47,23 @@ def _scaled(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     good = length >= 0
     good[row[~np.isfinite(value)]] = False
     place = np.arange(len(value)) - np.repeat(np.cumsum(np.maximum(length, 0)) - np.maximum(length, 0), np.maximum(length, 0))
-    out = np.zeros((max(int(length.max(initial=0)), 1), n), np.int64)
+    plain = np.zeros((max(int(length.max(initial=0)), 1), n))
     keep = good[row]
-    out[place[keep], row[keep]] = np.clip(np.floor(SCALE * value[keep]), -(2.0**62), 2.0**62).astype(np.int64)
-    return out, good
+    plain[place[keep], row[keep]] = value[keep]
+    with np.errstate(over="ignore"):
+        return plain, np.clip(np.floor(SCALE * plain), -SAFE, SAFE).astype(np.int64), good
+
+
+def _norms(plain: np.ndarray) -> np.ndarray:
+    """Norms of the scaled vectors, rounded up; infinite where squares overflow."""
+    with np.errstate(over="ignore"):
+        return np.sqrt(((SCALE * np.abs(plain) + 1) ** 2).sum(0)) * (1 + 1e-9)
+
+
+def exact(a: np.ndarray, b: np.ndarray) -> int:
+    """Inner product of floor(SCALE * x) of two vectors in whole numbers of any size, clamped to the range of a long."""
+    whole = lambda x: math.floor(SCALE * x) if abs(x) < 2.0**1000 else SCALE * int(x)
+    return min(max(sum(whole(x) * whole(y) for x, y in zip(a.tolist(), b.tolist(), strict=False)), LEAST), MOST)
 
 
 def _rest_norms(matrix: np.ndarray, step: int) -> np.ndarray:
@@ -51,13 +74,14 @@ def _rest_norms(matrix: np.ndarray, step: int) -> np.ndarray:
 
 
 class Best:
-    """The k best of one query: highest score, ties to the smaller id."""
+    """The k best of one query: highest score, ties to the smaller id; `least` is a lower bound of the k-th best score, if one is known."""
 
-    def __init__(self, k: int):
-        self.k, self.score, self.id = k, np.empty(0, np.int64), np.empty(0, np.int64)
+    def __init__(self, k: int, least: int | None = None):
+        self.k, self.least, self.score, self.id = k, least, np.empty(0, np.int64), np.empty(0, np.int64)
 
     def floor(self):
-        return self.score[-1] if len(self.score) == self.k else None
+        own = self.score[-1] if len(self.score) == self.k else None
+        return own if self.least is None or own is not None and own > self.least else self.least
 
     def add(self, score: np.ndarray, ids: np.ndarray) -> None:
         score, ids = np.concatenate((self.score, score)), np.concatenate((self.id, ids))
@@ -65,13 +89,33 @@ class Best:
         self.score, self.id = score[order], ids[order]
 
 
-def search_block(best: list[Best], query_ids, queries, query_rest, ids, matrix, step: int) -> None:
-    """Brings a block of rows into the best of every query (vectors as columns)."""
-    dims = max(len(matrix), len(queries))
-    matrix = np.pad(matrix, ((0, dims - len(matrix)), (0, 0)))
-    rest = _rest_norms(matrix, step)
+class Vectors:
+    """Vectors as columns: ids, components, scaled components, norms."""
+
+    def __init__(self, ids: np.ndarray, column: pa.ListArray, dims: int = 0):
+        plain, matrix, good = _scaled(column)
+        more = ((0, max(0, dims - len(plain))), (0, 0))
+        self.ids, self.plain, self.matrix = ids[good], np.pad(plain[:, good], more), np.pad(matrix[:, good], more)
+        self.norms = _norms(self.plain)
+
+    def widen(self, dims: int) -> None:
+        more = ((0, max(0, dims - len(self.plain))), (0, 0))
+        self.plain, self.matrix = np.pad(self.plain, more), np.pad(self.matrix, more)
+
+
+def search_block(best: list[Best], asked: Vectors, query_rest, rows: Vectors, step: int) -> None:
+    """Brings a block of rows into the best of every query; both have as many dimensions."""
+    ids, matrix, queries = rows.ids, rows.matrix, asked.matrix
+    dims, rest, widest = len(matrix), _rest_norms(matrix, step), rows.norms.max(initial=0)
     for q, found in enumerate(best):
-        alive = np.flatnonzero(ids != query_ids[q])
+        others = ids != asked.ids[q]
+        if not asked.norms[q] * widest < SAFE:
+            with np.errstate(over="ignore", invalid="ignore"):
+                safe = asked.norms[q] * rows.norms < SAFE
+            wide = np.flatnonzero(others & ~safe)
+            found.add(np.array([exact(asked.plain[:, q], rows.plain[:, i]) for i in wide], np.int64), ids[wide])
+            others &= safe
+        alive = np.flatnonzero(others)
         score = np.zeros(len(alive), np.int64)
         for b, at in enumerate(range(0, dims, step)):
             own = queries[at : at + step, q]
@@ -89,22 +133,37 @@ def search_block(best: list[Best], query_ids, queries, query_rest, ids, matrix,
             found.add(score, ids[alive])
 
 
+def first_floors(asked: Vectors, k: int) -> list[int | None]:
+    """For each query a lower bound of its k-th best score: that among the other queries of a sample. None where the sample is too small."""
+    some = np.arange(min(SAMPLE, len(asked.ids)))
+    if len(some) <= k:
+        return [None] * len(asked.ids)
+    out = []
+    for q in range(len(asked.ids)):
+        others = some[asked.ids[some] != asked.ids[q]]
+        if not asked.norms[q] * asked.norms[others].max(initial=0) < SAFE or len(others) < k:
+            out.append(None)
+        else:
+            out.append(int(np.partition(asked.matrix[:, q] @ asked.matrix[:, others], len(others) - k)[len(others) - k]))
+    return out
+
+
 def _search(shared, k: int, step: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, queries = shared.value
-        best, rest = [Best(k) for _ in query_ids], None
+        asked, floors = shared.value
+        best, rest = [Best(k, least) for least in floors], None
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                matrix, good = _scaled(part.column(1))
-                matrix, ids = matrix[:, good], part.column(0).to_numpy()[good]
-                if len(matrix) > len(queries):
-                    queries, rest = np.pad(queries, ((0, len(matrix) - len(queries)), (0, 0))), None
-                rest = _rest_norms(queries, step) if rest is None else rest
-                if len(ids):
-                    search_block(best, query_ids, queries, rest, ids, matrix, step)
+                rows = Vectors(part.column(0).to_numpy(), part.column(1), len(asked.plain))
+                if len(rows.plain) > len(asked.plain):
+                    asked.widen(len(rows.plain))
+                    rest = None
+                rest = _rest_norms(asked.matrix, step) if rest is None else rest
+                if len(rows.ids):
+                    search_block(best, asked, rest, rows, step)
         n = [len(b.score) for b in best]
-        yield pa.RecordBatch.from_pydict({"query_id": np.repeat(query_ids, n), "vec_id": np.concatenate([np.empty(0, np.int64), *(b.id for b in best)]), "score": np.concatenate([np.empty(0, np.int64), *(b.score for b in best)])})
+        yield pa.RecordBatch.from_pydict({"query_id": np.repeat(asked.ids, n), "vec_id": np.concatenate([np.empty(0, np.int64), *(b.id for b in best)]), "score": np.concatenate([np.empty(0, np.int64), *(b.score for b in best)])})
 
     return run
 
@@ -117,7 +176,8 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10, block: int = QUERIE
     vec_id, or vectors that are null or hold null or non-finite components, take no part.
     Ties go to the smaller vec_id. Rows with a query's own vec_id are not its candidates;
     of a repeated query the smallest vector asks, and repeated candidates each take a
-    rank. An empty table gives an empty result.
+    rank. Scores beyond the range of a long are clamped to it, and tie there. An empty
+    table gives an empty result.
     """
     spark = vectors.sparkSession
     own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null")
@@ -129,7 +189,8 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10, block: int = QUERIE
         part = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow().sort_by("vec_id")
         lists = part.column(1).combine_chunks() if part.num_rows else pa.array([], pa.list_(pa.float64()))
         lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        shared = spark.sparkContext.broadcast((part.column(0).to_numpy(), _scaled(lists)[0]))
+        queries = Vectors(part.column(0).to_numpy(), lists)
+        shared = spark.sparkContext.broadcast((queries, first_floors(queries, k)))
         found = own.mapInArrow(_search(shared, k, step), "query_id long, vec_id long, score long")
         found = found if blocks == 1 else written(found, "found")
         parts = found if parts is None else parts.union(found)
