@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from . import licenses
 
 
@@ -21,12 +19,11 @@ def license_sql() -> str:
         starts.append(f"list_filter(range(0, greatest(len(words) - {len(parts) - 1}, 0)), lambda i: {match}) AS p{i}")
         names.append(f"CASE WHEN len(p{i}) > 0 THEN '{label}' END")
     shares, more = [], []
-    half, window = licenses.WINDOW // 2, licenses.WINDOW
     for i, (text, label) in enumerate(licenses.TEMPLATES):
         s = sorted(set(text.split()))
-        need = math.ceil(licenses.THRESHOLD * len(s) - 1e-9)
-        best = f"list_max(list_transform(range(0, greatest(len(words), 1), {half}), lambda i: len(list_intersect({_list(s)}, list_slice(words, i + 1, i + {window})))))"
-        shares.append(f"CASE WHEN {best} >= {need} THEN {best} / {len(s)}::DOUBLE END AS t{i}")
+        need, window = licenses.least_words(text, licenses.THRESHOLD), licenses.block_length(text)
+        best = f"list_max(list_transform(range(0, greatest(len(words), 1), {window // 2}), lambda i: len(list_intersect({_list(s)}, list_slice(words, i + 1, i + {window})))))"
+        shares.append(f"CASE WHEN len(list_intersect({_list(s)}, words)) < {need} THEN NULL WHEN {best} >= {need} THEN {best} / {len(s)}::DOUBLE END AS t{i}")
         more.append(f"CASE WHEN t{i} IS NOT NULL THEN '{label}' END")
     n, p = len(licenses.TEMPLATES), len(licenses.PHRASES)
     distinct = lambda items: f"array_to_string(list_sort(list_distinct(list_filter([{', '.join(items)}], lambda x: x IS NOT NULL))), ',')"
