@@ -1,10 +1,11 @@
 """Token counts of whole texts by a public BPE vocabulary, without token ids.
 
-Each distinct pre-token of the corpus is cut into pieces once. A document's count
-is the sum, over its distinct pre-tokens, of frequency times pieces. The pre-tokens
-that occur most often (at most `head`, a fixed bound) are joined by broadcast; all
-others are joined by a shuffle, in which no key is hot because frequent keys are in
-the head.
+Each distinct pre-token is cut into pieces once. A document's count is the sum, over its
+distinct pre-tokens, of frequency times pieces. The pre-tokens that occur most often in a
+sample of the documents (at most `head`, a fixed bound) are counted first and broadcast. Every
+text is then cut once: what the head knows is summed where it is read, and only the other
+pre-tokens are written, with their frequencies. Their distinct ones are counted and joined by a
+shuffle. The sample decides how much is left for that join, not the result.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from .common import small_batches, utf8, written
 
 #: Distinct pre-tokens that are broadcast at most; a bound on memory, not on results.
 HEAD = 1 << 18
+#: Rows, about, from which the head is taken.
+SAMPLE_ROWS = 20_000
 #: Distinct pre-tokens that a task gathers before it passes them on.
 FLUSH = 1 << 19
 
@@ -130,12 +133,21 @@ def _frequencies(path: str, head):
     return run
 
 
-def pre_token_pieces(docs: DataFrame, path: str) -> DataFrame:
-    """One row per distinct pre-token of all texts: pre_token, n (occurrences), pieces."""
-    vocabulary = docs.select("text").mapInArrow(_vocabulary(path), "pre_token string, n long").groupBy("pre_token").agg(F.sum("n").alias("n"))
+def pre_token_pieces(vocabulary: DataFrame, path: str) -> DataFrame:
+    """The rows of pre_token and n (occurrences), one for each distinct pre-token, with the pieces of each."""
     return written(vocabulary.mapInArrow(_pieces(path), "pre_token string, n long, pieces int"), "pieces")
 
 
+def head_of(docs: DataFrame, path: str, head: int, rows: int = SAMPLE_ROWS) -> tuple[list[str], list[int]]:
+    """The most frequent pre-tokens, at most `head`, of about `rows` documents chosen by hash, and their pieces."""
+    n = docs.count()
+    place = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1) / F.lit(2.0**63)
+    some = docs.where(place < rows / n) if n > rows else docs
+    counted = some.select("text").mapInArrow(_vocabulary(path), "pre_token string, n long").groupBy("pre_token").agg(F.sum("n").alias("n"))
+    top = frequent(pre_token_pieces(counted, path), head).select("pre_token", "pieces").toArrow()
+    return top.column(0).to_pylist(), top.column(1).to_pylist()
+
+
 def frequent(table: DataFrame, head: int) -> DataFrame:
     """The rows of the most frequent pre-tokens, at most `head`, down to a frequency that a histogram of few hundred rows gives: nothing is sorted."""
     step = F.floor(F.log2("n") * 8).cast("int").alias("step")
@@ -157,9 +169,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int, head: int = HEAD) -> Da
     """
     spark = docs.sparkSession
     small_batches(spark)
-    table = pre_token_pieces(docs, path)
-    top = frequent(table, head).select("pre_token", "pieces").toArrow()
-    shared = spark.sparkContext.broadcast((top.column(0).to_pylist(), top.column(1).to_pylist()))
+    shared = spark.sparkContext.broadcast(head_of(docs, path, head))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = written(
         docs.select("text", F.monotonically_increasing_id().alias("row_key"), "doc_id", F.coalesce(F.octet_length(utf8("text")), F.lit(0)).cast("long").alias("n_bytes")).mapInArrow(
@@ -168,6 +178,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int, head: int = HEAD) -> Da
         "frequencies",
     )
     rare = rows.select("row_key", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row_key", F.col("x.rare").alias("pre_token"), F.col("x.times").alias("times"))
+    table = pre_token_pieces(rare.groupBy("pre_token").agg(F.sum("times").alias("n")), path)
     tails = rare.join(table.select("pre_token", "pieces"), "pre_token").groupBy("row_key").agg(F.sum(F.col("times") * F.col("pieces")).alias("tail_tokens"))
     n = F.col("head_tokens") + F.coalesce("tail_tokens", F.lit(0))
     return rows.drop("rare", "times").join(tails, "row_key", "left").select("doc_id", "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))
