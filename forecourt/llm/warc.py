@@ -12,6 +12,7 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -128,7 +129,8 @@ class _Writer:
 
 
 def record_id(page_id) -> str:
-    return f"<urn:page:{'' if page_id is None else page_id}>"
+    """The identifier of a page's record; what may not stand in a URN is escaped."""
+    return f"<urn:page:{'' if page_id is None else quote(str(page_id), safe='-')}>"
 
 
 def _write(root: str, frame: int, bundle: int):
@@ -176,7 +178,9 @@ def write_archives(pages: DataFrame, root: str, frame: int = FRAME, bundle: int
     own = own.withColumn("digest", F.when(F.octet_length("payload") >= least, F.sha1("payload")))
     groups = own.where("digest is not null").groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n"))
     shared = written(groups.where("n > 1").select(F.col("digest").alias("shared_digest"), "keeper"), "shared")
-    rows = own.join(shared, F.col("digest") == F.col("shared_digest"), "left").select("page_id", "url", "payload", "keeper")
+    # Rows that no other can equal are dealt by their own hash, should the join shuffle: null is no key.
+    key = F.coalesce("digest", F.concat(F.lit("-"), F.xxhash64("page_id", "url", F.octet_length("payload"))))
+    rows = own.join(shared, key == F.col("shared_digest"), "left").select("page_id", "url", "payload", "keeper")
     index = rows.mapInArrow(_write(root, frame, bundle), "record_id string, bundle string, frame long, frame_offset long, length long")
     return written(index, "index")
 
@@ -185,9 +189,8 @@ def _payload(body: bytes) -> bytes:
     return body[body.index(b"\r\n\r\n") + 4 :]
 
 
-def _page(identifier: str | None) -> int | None:
-    digits = (identifier or "")[10:-1]
-    return int(digits) if digits else None
+def _page(identifier: str | None) -> str | None:
+    return unquote((identifier or "")[10:-1]) or None
 
 
 def _row(fields: dict, body: bytes) -> tuple:
@@ -200,7 +203,7 @@ def _row(fields: dict, body: bytes) -> tuple:
     return _page(fields["WARC-Record-ID"]), fields.get("WARC-Target-URI"), size, digest, kind, _page(fields.get("WARC-Refers-To"))
 
 
-_FIELDS = [("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]
+_FIELDS = [("page_id", pa.string()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string())]
 
 
 def _read(root: str):
@@ -224,15 +227,17 @@ def _read(root: str):
     return run
 
 
-def read_archives(index: DataFrame, root: str) -> DataFrame:
+def read_archives(index: DataFrame, root: str, id_type: str = "long") -> DataFrame:
     """page_id, url, payload_bytes, payload_digest, record_type, refers_to of every record of the bundles that the index names.
 
+    Both ids are of the type given, that of the pages' own.
     Frames are found by the seek table and read one by one; payloads of responses are hashed again.
     """
     bundles = written(index.select("bundle").distinct(), "bundles")
     # A bundle's name says nothing of its size, by which small partitions are merged: the number of tasks is set.
     bundles = bundles.repartition(max(1, min(bundles.count(), TASKS)))
-    return bundles.mapInArrow(_read(root), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    rows = bundles.mapInArrow(_read(root), "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string")
+    return rows.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 
 
 def fetch(index: DataFrame, root: str, page_id: int) -> list[tuple[dict, bytes]]:
@@ -254,4 +259,4 @@ def fetch(index: DataFrame, root: str, page_id: int) -> list[tuple[dict, bytes]]
 def round_trip(pages: DataFrame) -> DataFrame:
     """Archives of all pages in the shared folder, read back."""
     root = new_path(pages.sparkSession, "warc")
-    return read_archives(write_archives(pages, root), root)
+    return read_archives(write_archives(pages, root), root, pages.schema["page_id"].dataType.simpleString())
