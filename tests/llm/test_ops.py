@@ -66,6 +66,13 @@ def test_archives_round_trip(spark, tmp_path):
     assert payload == b"z" * 3_000_000 and fields["WARC-Type"] == "response" and warc.fetch(index, str(tmp_path), 99) == []
 
 
+def test_archives_of_pages_with_other_ids(spark):
+    big = "x" * 1000
+    rows = [("a b\r\n", big), ("é>", big), ("", "s"), (None, "s")]
+    got = warc.round_trip(spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id string, url string, html string")).collect()
+    assert sorted((r.page_id or "", r.record_type, r.refers_to) for r in got) == [("", "response", None), ("", "response", None), ("a b\r\n", "revisit", "é>"), ("é>", "response", None)]
+
+
 def test_archives_of_nothing(spark, tmp_path):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read_archives(warc.write_archives(pages, str(tmp_path)), str(tmp_path)).count() == 0
@@ -181,9 +188,19 @@ def test_simhash_is_brute_force(spark, real):
     assert got == {r.doc_id: (w, low[t]) for r, w, t in zip(rows, want, top, strict=True)}
 
 
-@pytest.mark.parametrize("threshold", [0, 2, 4, 6])
-def test_links_connect_all_that_are_near(spark, monkeypatch, threshold):
-    monkeypatch.setattr(simhash, "CELL", 16)  # many cells for each crowded anchor
+def schemes(threshold, words=1):
+    """Anchors of single blocks, and of two at once."""
+    return [simhash.scheme(words, threshold, 0), simhash.scheme(words, threshold, 1 << 60)]
+
+
+@pytest.mark.parametrize("double", [False, True])
+@pytest.mark.parametrize("threshold", [0, 2, 4, 5])
+def test_links_connect_all_that_are_near(spark, monkeypatch, threshold, double):
+    monkeypatch.setattr(simhash, "CELL", 16)  # many tiles for each crowded anchor
+    monkeypatch.setattr(simhash, "SAMPLE", 1)
+    monkeypatch.setattr(simhash, "MOST_COPIES", 1000)
+    way = schemes(threshold)[double]
+    assert len(way.groups[0]) == 1 + double
     rng = np.random.default_rng(threshold)
     base = [int(x) for x in rng.integers(0, 2**63, 40)]
     prints = {0, (1 << 64) - 1} | set(base)
@@ -193,15 +210,16 @@ def test_links_connect_all_that_are_near(spark, monkeypatch, threshold):
             prints.add(b)
     prints = sorted(prints)
     signed = spark.createDataFrame([(int(np.uint64(p).astype(np.int64)),) for p in prints], "fp long")
-    roots = {r.node: r.root for r in simhash.connected(simhash.links(signed, threshold)).collect()}
+    roots = {r.node: r.root for r in simhash.connected(simhash.links(signed, threshold, way)).collect()}
     mine = [roots.get(v := int(np.uint64(p).astype(np.int64)), v) for p in prints]
     want = brute_components(prints, threshold)
     assert len(set(zip(mine, want, strict=True))) == len(set(mine)) == len(set(want))
 
 
-@pytest.mark.parametrize("cell", [1, 16])
+@pytest.mark.parametrize("cell", [1, 4, 16, 2048])
 def test_lone_pairs_in_crowded_anchors_are_linked(spark, monkeypatch, cell):
     monkeypatch.setattr(simhash, "CELL", cell)
+    monkeypatch.setattr(simhash, "SAMPLE", 1)
     rng, prints = np.random.default_rng(cell), set()
     for _ in range(100 if cell > 1 else 20):  # three bits in each block: at home at the zero anchor of all three
         p = sum(1 << at + int(i) for at, width in simhash.BLOCKS for i in rng.choice(width, 3, replace=False))
@@ -216,6 +234,55 @@ def test_lone_pairs_in_crowded_anchors_are_linked(spark, monkeypatch, cell):
     assert len(set(zip(mine, want, strict=True))) == len(set(mine)) == len(set(want))
 
 
+@pytest.mark.parametrize("words, threshold", [(1, 4), (1, 5), (2, 22)])
+def test_pairs_within_the_threshold_share_a_cell(monkeypatch, words, threshold):
+    """Also with the copies of one side only within half the slack: one of each pair is a near copy."""
+    monkeypatch.setattr(simhash, "MOST_COPIES", 1 << 20)
+    rng = np.random.default_rng(words)
+    for way in schemes(threshold, words)[: 1 + (words == 1)]:
+        for _ in range(20 if words > 1 else 150):
+            a = rng.integers(0, 2**63, words).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+            b = a.copy()
+            for bit in rng.choice(64 * words, threshold, replace=False):
+                b[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+            cells = {}
+            for row, cell, near in simhash.anchors(np.stack((a, b)), way):
+                for r, c, n in zip(row.tolist(), cell.tolist(), near.tolist(), strict=True):
+                    cells.setdefault(c, []).append((r, n))
+            assert any({0, 1} == {r for r, _ in v} and any(n for _, n in v) for v in cells.values())
+
+
+def test_copies_are_as_many_as_reckoned():
+    prints = np.random.default_rng(0).integers(0, 2**63, (500, 1)).astype(np.uint64)
+    for way in schemes(4):
+        assert sum(len(row) for row, _, _ in simhash.anchors(prints, way)) / 500 == pytest.approx(way.copies(), rel=0.05)
+
+
+def test_cells_over_many_batches(spark, monkeypatch):
+    """Cells of a few and of many rows, cut by the batches that reach Python."""
+    monkeypatch.setattr(simhash, "SHORT", 4)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        rng = np.random.default_rng(3)
+        base = [int(x) for x in rng.integers(0, 2**62, 30)]
+        prints = sorted({b ^ (1 << int(i)) for b in base for i in rng.integers(0, 64, 6)})
+        signed = [int(np.uint64(p).astype(np.int64)) for p in prints]
+        roots = {r.node: r.root for r in simhash.connected(simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long"))).collect()}
+        mine, want = [roots.get(p, p) for p in signed], brute_components(prints, 4)
+        assert len(set(zip(mine, want, strict=True))) == len(set(mine)) == len(set(want))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(simhash, "written", lambda df, name, files=None, f=simhash.written: tables.append(name) or f(df, name, files))
+    chain = spark.createDataFrame([(i, i + 1) for i in range(1000)], "a long, b long")
+    assert {r.root for r in simhash.connected(chain).collect()} == {0}
+    assert len(tables) < 15
+
+
 def test_all_bits_of_further_words_are_used(spark):
     prints = simhash.fingerprints(docs(spark, *(f"word{i}" for i in range(200))), words=2).collect()
     for w in ("w0", "w1"):
@@ -224,7 +291,7 @@ def test_all_bits_of_further_words_are_used(spark):
 
 def test_golay_code_covers():
     cover = simhash.Covering(0)
-    assert np.array_equal(np.diff(cover.first[:2049]), np.ones(2048))  # one pattern of at most 3 bits for each syndrome
+    assert np.array_equal(np.diff(cover.first[:2049]), np.ones(2048)) and not cover.over.any()  # one pattern of at most 3 bits for each syndrome
 
 
 @given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=60))
@@ -283,6 +350,7 @@ def test_shards_are_contiguous_and_equal(spark, real):
     for r in rows:
         data = (r.text or "").encode()
         assert (r._size, r._crc) == (len(data) + 1, zlib.crc32(data))
+    assert len({r._crc for r in rows}) == len({r.text or "" for r in rows})  # so the second hash decides nothing here
     order = sorted(rows, key=lambda r: (r._crc, r.doc_id))
     start, total = 0, sum(r._size for r in rows)
     for r in order:
@@ -387,6 +455,28 @@ def test_search_of_odd_vectors(spark):
     assert topk.top_k(e.limit(0)).count() == 0
 
 
+def test_scores_beyond_a_long_are_clamped(spark):
+    rows = [(0, [1e16, 1.0]), (100, [-3.0, 1e300]), (1, [1e16, 0.5]), (2, [-1e16, 3.0]), (3, [1.0, 1.0]), (4, [1e15, -1e300]), (5, [1.7e308, 0.0]), (6, [0.0, 0.0]), (7, [2e6, 2e6])]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = lambda x: math.floor(1024 * x) if abs(x) < 1e300 else 1024 * int(x)
+    want = []
+    for q, a in rows:
+        if q % 100 == 0:
+            scored = [(min(max(sum(whole(x) * whole(y) for x, y in zip(a, b, strict=True)), -(2**63)), 2**63 - 1), i) for i, b in rows if i != q]
+            want += [(q, n + 1, i, s) for n, (s, i) in enumerate(sorted(scored, key=lambda x: (-x[0], x[1]))[:10])]
+    assert sorted(map(tuple, topk.top_k(e).collect())) == sorted(want)
+
+
+def test_first_bounds_lose_nothing(spark, monkeypatch):
+    """Many queries, so that the sample gives bounds; ties at the bound stay."""
+    monkeypatch.setattr(topk, "SAMPLE", 12)
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.integers(-2, 3, 6)]) for i in range(300)]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(map(tuple, topk.top_k(e, every=5, k=4, step=2).collect()))
+    assert got == brute_top(rows, 4, 5)
+
+
 # 7. Decontamination
 
 
@@ -414,10 +504,48 @@ def brute_tiles(doc, item, least):
 @settings(max_examples=60, deadline=None)
 def test_tiles_are_greedy(doc, item):
     d, i = (np.array(x, np.uint64) for x in (doc, item))
-    seeds = [(a, b) for a in range(len(doc) - 2) for b in range(len(item) - 2) if doc[a : a + 3] == item[b : b + 3]]
-    got = decontaminate.tiles(d, i, np.array([s[0] for s in seeds], np.int64), np.array([s[1] for s in seeds], np.int64), 3)
-    want = brute_tiles(doc, item, 3)
-    assert [t[2] for t in got] == [t[2] for t in want] and len({t for x in got for t in range(x[0], x[0] + x[2])}) == sum(t[2] for t in got)
+    assert decontaminate.tiles(d, i, 3) == brute_tiles(doc, item, 3)
+
+
+def test_repetitive_texts_take_little_memory():
+    import time
+    import tracemalloc
+
+    words = decontaminate.Words()
+    items = decontaminate.Items([(1, b"a " * 200), (2, b"a b " * 100), (3, b"c " * 50)])
+    doc = words.hashes(b"a " * 500_000)
+    begun = time.time()
+    tracemalloc.start()
+    got = items.find(doc)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(x[0], x[1], x[3]) for x in got] == [(1, 200, [(0, 0, 200)])] and peak < 200e6 and time.time() - begun < 20
+
+
+def brute_found(text, item, least=5, coverage=0.8):
+    flat = lambda t: re.findall(rb"[0-9a-z\x80-\xff]+", (t or "").encode().lower())
+    d, i = flat(text), flat(item)
+    got = brute_tiles(d, i, min(least, len(i)))
+    n = sum(t[2] for t in got)
+    return (n, len(i), sorted(got)) if i and n >= coverage * len(i) else None
+
+
+def test_contamination_is_brute_force(spark):
+    """Whole rows of the operator, over documents of few words, so that passages repeat, overlap and are reordered."""
+    rng = np.random.default_rng(4)
+    vocabulary = ["ab", "cd", "ef", "GH", "é", "12"]
+    text = lambda n: " ".join(rng.choice(vocabulary, n))
+    items = [(f"i{k}", text(n)) for k, n in enumerate((3, 4, 6, 8, 8, 10, 12, 20))]
+    texts = [text(n) for n in rng.integers(1, 60, 30)]
+    for _, x in items:
+        w = x.split()
+        texts += [f"{text(4)} {x} {text(3)}", " ".join(w[len(w) // 2 :] + ["zz"] + w[: len(w) // 2]), f"{x}, {x}! {x}"]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    want = {(i, k): f for i, t in enumerate(texts) for k, x in items if (f := brute_found(t, x))}
+    got = {(r.doc_id, r.item_id): (r.covered, r.words, sorted(map(tuple, r.tiles))) for r in decontaminate.contamination(docs(spark, *texts), bench).collect()}
+    assert got == want and len(want) > 20
+    kept = {r.doc_id for r in decontaminate.without_contaminated(docs(spark, *texts), bench).collect()}
+    assert kept == set(range(len(texts))) - {i for i, _ in want}
 
 
 def test_leaks_are_found_in_any_order(spark):
@@ -455,6 +583,14 @@ def test_real_leaks_hold_their_item(spark, real):
 # 8. Tokens
 
 
+def test_the_sample_decides_no_count(spark, real, monkeypatch):
+    counts = lambda: sorted(map(tuple, token_counts.count_tokens(real, vocabulary_path(), 2048).collect()))
+    want, some = counts(), token_counts.head_of(real, vocabulary_path(), 1 << 18, 20)
+    assert 0 < len(some[0]) < len(token_counts.head_of(real, vocabulary_path(), 1 << 18)[0])
+    monkeypatch.setattr(token_counts, "head_of", lambda *_: some)
+    assert counts() == want
+
+
 def test_counts_are_the_library_s(spark, real, odd):
     from tokenizers import Tokenizer
 
@@ -534,9 +670,11 @@ def brute_scan(text):
     labels, share = set(at), 0.0
     for t, label in licenses.TEMPLATES:
         s = set(t.split())
-        for i in range(0, max(1, len(words)), licenses.WINDOW // 2):
-            got = len(s & set(words[i : i + licenses.WINDOW]))
-            if got >= math.ceil(licenses.THRESHOLD * len(s) - 1e-9):
+        block = licenses.block_length(t)
+        assert block >= 2 * len(t.split())
+        for i in range(0, max(1, len(words)), block // 2):
+            got = len(s & set(words[i : i + block]))
+            if got >= (len(s) if len(s) < licenses.WHOLE else math.ceil(licenses.THRESHOLD * len(s) - 1e-9)):
                 labels.add(label)
                 share = max(share, got / len(s))
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(at)), ",".join(sorted(labels)), 1.0 if places else share
@@ -544,13 +682,24 @@ def brute_scan(text):
 
 def test_scans_are_brute_force(spark, real, odd):
     made = docs(spark, "Released under the MIT License.", "UNDER\tthe (mit) license under the mit license", "cc-by-nc", "cc by", "Apache License, Version 2.0", "x " * 100 + "GNU General Public, License version 3 this work is licensed under the", "all rights reserved", "all the rights are reserved", "under the mit", "K" * 5, "K mit", "redistribution use in source and binary forms or without modification are permitted", *(["y"] * 3))
-    for d in (real, odd, made):
+    texts = [t for t, _ in licenses.TEMPLATES]
+    # Whole texts: as they are, within others, with words changed up to the threshold and beyond, in reverse, cut short.
+    worn = lambda t, n: " ".join("zz" if i % n == 0 else w for i, w in enumerate(t.split()))
+    long_ = docs(spark, *texts, *(f"{'x ' * 77}{t.title()}.{' y' * 99}" for t in texts), *(worn(t, n) for t in texts for n in (4, 9)), *(" ".join(reversed(t.split())) for t in texts), *(t[: len(t) * 2 // 3] for t in texts), " ".join(texts))
+    for d in (real, odd, made, long_):
         want = sorted((brute_scan(r.text) for r in d.collect()), key=repr)
         got = licenses.scan(d).collect()
         assert sorted((tuple(r)[1:] for r in got), key=repr) == want
     assert licenses.scan(empty(spark)).count() == 0
 
 
+def test_license_texts_are_told_apart(spark):
+    got = {r.doc_id: r.labels for r in licenses.scan(docs(spark, *(t for t, _ in licenses.TEMPLATES))).collect()}
+    assert all(label in got[i].split(",") for i, (_, label) in enumerate(licenses.TEMPLATES))
+    near = ["licensed under a Creative Commons Attribution 4.0 International License", "licensed under CC BY 4.0", "released under the BSD license", "subject to the terms of the GNU General Public License, version 2.0"]
+    assert [r.labels for r in sorted(licenses.scan(docs(spark, *near)).collect())] == ["cc-by", "", "", ""]
+
+
 def test_scan_runs_no_python(spark, real):
     plan = licenses.scan(real)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
