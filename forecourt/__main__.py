@@ -6,8 +6,6 @@ import argparse
 import time
 from datetime import datetime, timezone
 
-from pyspark.sql import functions as F
-
 from . import pipeline
 from .plans import gold
 from .schemas import SOURCES
@@ -67,7 +65,7 @@ def main(argv: list[str] | None = None) -> None:
         store = Store(spark, f"{root}/silver")
         listings, history = store.table("listings"), store.table("price_history")
         plans = {
-            "browse": gold.browse(listings, "Honda", "Civic", (2018, 2022), "ON"), "make_stats": gold.make_stats(listings, "Toyota"), "vin_history": gold.vin_history(listings, history).orderBy(F.asc_nulls_last("observed_at")),
+            "browse": gold.browse(listings, "Honda", "Civic", (2018, 2022), "ON"), "make_stats": gold.make_stats(listings, "Toyota"), "vin_history": gold.vin_history(listings, history),
             "recent": gold.recent(listings, "QC"), "price_drops": gold.largest_drops(history),
         }
         for name, df in plans.items():

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -23,10 +23,17 @@ def price_outliers(records: DataFrame, least: int = 5, sigmas: float = 3.0) -> D
     Means and deviations are aggregated before the shuffle; the one row a group that
     they leave is joined back, by broadcast if it is small.
     """
-    priced = records.where("price_cents is not null and make <> '' and model <> ''").select("make", "model", "price_cents")
-    stats = priced.groupBy("make", "model").agg(F.count("*").alias("n"), F.avg("price_cents").alias("mean"), F.stddev_pop("price_cents").alias("dev"))
-    scored = priced.join(stats.where((F.col("n") >= least) & (F.col("dev") > 0)), ["make", "model"])
-    return scored.agg(F.count_if(F.abs(F.col("price_cents") - F.col("mean")) / F.col("dev") > sigmas).alias("outliers"), F.count("*").alias("scored"))
+    scored = price_distances(records.select("make", "model", "price_cents"), least)
+    return scored.agg(F.count_if(F.abs("z") > sigmas).alias("outliers"), F.count("*").alias("scored"))
+
+
+def price_distances(records: DataFrame, least: int = 5) -> DataFrame:
+    """Priced records of makes and models with `least` of them and different prices, with z, the distance from their mean in deviations."""
+    priced = records.where("price_cents is not null and make <> '' and model <> ''")
+    stats = priced.groupBy(F.col("make").alias("_make"), F.col("model").alias("_model")).agg(F.count("*").alias("_n"), F.avg("price_cents").alias("_mean"), F.stddev_pop("price_cents").alias("_dev"))
+    stats = stats.where((F.col("_n") >= least) & (F.col("_dev") > 0))
+    met = priced.join(stats, (F.col("make") == F.col("_make")) & (F.col("model") == F.col("_model")))
+    return met.withColumn("z", (F.col("price_cents") - F.col("_mean")) / F.col("_dev")).drop("_make", "_model", "_n", "_mean", "_dev")
 
 
 def completeness(checked: DataFrame, normalized: DataFrame) -> DataFrame:
@@ -81,7 +88,4 @@ def formatted(value: float) -> str:
 
 def outlier_rows(records: DataFrame, sigmas: float = 3.0) -> DataFrame:
     """Records with their distance from the mean in deviations (an addition: the reference only counts them)."""
-    w = Window.partitionBy("make", "model")
-    out = records.where("price_cents is not null and make <> '' and model <> ''").withColumns({"_n": F.count("*").over(w), "_mean": F.avg("price_cents").over(w), "_dev": F.stddev_pop("price_cents").over(w)})
-    z = F.try_divide(F.col("price_cents") - F.col("_mean"), F.col("_dev"))
-    return out.where("_n >= 5 and _dev > 0").withColumn("z", z).where(F.abs("z") > sigmas).drop("_n", "_mean", "_dev")
+    return price_distances(records).where(F.abs("z") > sigmas)

@@ -44,7 +44,7 @@ def _merged(old: DataFrame, new: DataFrame, keys: list[str], rules: dict[str, Co
     return both.select(*cols)
 
 
-def upsert_vehicles(old: DataFrame, staged: DataFrame, now: Column) -> DataFrame:
+def upsert_vehicles(old: DataFrame, staged: DataFrame, now: Column, decoded: str = DECODED) -> DataFrame:
     """New values where there are any, else the old ones; a decoded vehicle stays so; WMI and first sight are kept."""
     is_old, is_new = F.col("o.vin").isNotNull(), F.col("n.vin").isNotNull()
     fill = lambda c: F.coalesce(f"n.{c}", f"o.{c}")
@@ -52,7 +52,7 @@ def upsert_vehicles(old: DataFrame, staged: DataFrame, now: Column) -> DataFrame
     rules = {c: fill(c) for c in ("make", "model", "model_year", "trim", "body_style", "fuel_type", "drive_train", "transmission")}
     rules |= {
         "wmi": keep("wmi", F.col("n.wmi")),
-        "decode_source": F.when(~is_old | (F.col("n.decode_source") == DECODED), F.col("n.decode_source")).otherwise(F.col("o.decode_source")),
+        "decode_source": F.when(~is_old | (F.col("n.decode_source") == decoded), F.col("n.decode_source")).otherwise(F.col("o.decode_source")),
         "first_seen_at": keep("first_seen_at", now),
         "created_at": keep("created_at", now),
         "last_seen_at": F.when(is_new, now).otherwise(F.col("o.last_seen_at")),

@@ -46,7 +46,15 @@ def run(spark: SparkSession, root: str, date: str | None = None, reference_year:
     The quarantine, the decode cache and the log commit by themselves and outlive a
     failed load; vehicles, listings and price history commit together.
     """
-    store, run_id = Store(spark, f"{root}/silver"), uuid.uuid4().hex
+    store = Store(spark, f"{root}/silver")
+    try:
+        return _run(store, root, date, reference_year, observed_at, decoder)
+    finally:
+        store.drop_stages()
+
+
+def _run(store: Store, root: str, date: str | None, reference_year: int | None, observed_at: str | None, decoder: E.Decoder | None) -> str | None:
+    spark, run_id = store.spark, uuid.uuid4().hex
     year = reference_year or datetime.now(timezone.utc).year
     now = F.lit(observed_at or datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp")
     raw = bronze.read(spark, root, date)
@@ -95,10 +103,9 @@ def run(spark: SparkSession, root: str, date: str | None = None, reference_year:
 
     begun = time.time()
     versions = {"vehicles": store.write("vehicles", U.upsert_vehicles(store.table("vehicles"), U.staged_vehicles(vehicles), now)), "listings": store.write("listings", U.upsert_listings(store.table("listings"), staged, now))}
-    merged = spark.read.schema(SILVER["listings"][0]).parquet(f"{store.root}/listings/{versions['listings']}")
-    history = store.table("price_history")
-    changes = store.stage("changes", U.price_changes(staged, merged, history, now))
-    versions["price_history"] = store.write("price_history", history.unionByName(changes))
+    merged = store.read("listings", versions["listings"])
+    changes = store.stage("changes", U.price_changes(staged, merged, store.table("price_history"), now))
+    versions["price_history"] = store.added("price_history", changes)
     store.point(versions)
     upserted = staged.count()
     log.add("load", "all", label, m.unique_vins, m.unique_vins, started=begun, vehicles_upserted=m.unique_vins, listings_upserted=upserted, price_history_rows_written=changes.count())

@@ -45,8 +45,11 @@ def price_drops(history: DataFrame) -> DataFrame:
     )
 
 
-def browse(listings: DataFrame, make: str, model: str, years: tuple[int, int], province: str, n: int = 50) -> DataFrame:
-    own = (F.col("make") == make) & (F.col("model") == model) & F.col("model_year").between(*years) & (F.col("province") == province) & (F.col("status") == "active")
+def browse(listings: DataFrame, make: str | None, model: str | None, years: tuple[int, int], province: str, n: int = 50) -> DataFrame:
+    """The cheapest active listings of a make and model (None: any), years and province; null prices last, ties by id."""
+    own = F.col("model_year").between(*years) & (F.col("province") == province) & (F.col("status") == "active")
+    for name, value in (("make", make), ("model", model)):
+        own = own if value is None else own & (F.col(name) == value)
     return listings.where(own).orderBy(asc("price_cents"), "id").limit(n).select("id", "vin", "price_cents", "odometer_km", "city")
 
 
@@ -57,14 +60,14 @@ def make_stats(listings: DataFrame, make: str, n: int = 20) -> DataFrame:
 
 
 def vin_history(listings: DataFrame, history: DataFrame, vin: Column | None = None) -> DataFrame:
-    """Listings of a VIN (default: the smallest active one) with every price observed; not sorted."""
+    """Listings of a VIN (default: the smallest active one) with every price observed, by time, unobserved ones last."""
     if vin is None:
         first = listings.where("status = 'active'").agg(F.min("vin").alias("vin"))
         own = listings.join(F.broadcast(first), "vin", "left_semi")  # one row
     else:
         own = listings.where(F.col("vin") == vin)
     seen = history.select("listing_id", F.col("price_cents").alias("history_price"), "observed_at")
-    return own.join(seen, own["id"] == seen["listing_id"], "left").select("source", "price_cents", "status", "history_price", "observed_at")
+    return own.join(seen, own["id"] == seen["listing_id"], "left").select("source", "price_cents", "status", "history_price", "observed_at").orderBy(asc("observed_at"))
 
 
 def recent(listings: DataFrame, province: str, n: int = 50) -> DataFrame:

@@ -102,6 +102,28 @@ OLD = f"old AS ({_view(views.OLD_LISTINGS)})"
 OLDV = f"oldv AS ({_view(views.OLD_VEHICLES, vins='normal')})"
 
 
+#: The raw view as it is read from landed files: empty texts for source B's nulls, A's rows before B's.
+LAKE = RAW.replace("raw AS (", "raw0 AS (", 1) + f""", raw AS (
+    SELECT * REPLACE (ord + CASE source WHEN 'dealer-feed-a' THEN 0 ELSE 1000000000000 END AS ord, {", ".join(f"CASE source WHEN 'marketplace-b' THEN coalesce({c}, '') ELSE {c} END AS {c}" for c in ("stock_number", "model", "trim", "body_style", "fuel_type", "exterior_color", "listed_at", "status"))},
+        'bronze/source=' || source || CASE source WHEN 'dealer-feed-a' THEN '/date=2026-01-01/batch-' || lpad(CAST(ord // 4000 AS VARCHAR), 4, '0') || '.ndjson.gz' ELSE '/date=2026-01-02/batch-' || lpad(CAST(ord // 4000 AS VARCHAR), 4, '0') || '.csv.gz' END AS batch_id)
+    FROM raw0
+)"""
+
+
+#: What the default decoder knows of the view's prefixes: one seed has their first five characters.
+SEED_CACHE = """SELECT wmi_vds_prefix, valid, CASE WHEN valid THEN 'Honda' END AS make, CASE WHEN valid THEN 'Accord' END AS model, CASE WHEN valid THEN y + CASE WHEN y < 8 THEN 2030 ELSE 2000 END END AS year, CAST(NULL AS VARCHAR) AS trim, CAST(NULL AS VARCHAR) AS series,
+    CASE WHEN valid THEN 'sedan' END AS body_style, CASE WHEN valid THEN 'gasoline' END AS fuel_type, CAST(NULL AS VARCHAR) AS drive_type, CAST(NULL AS VARCHAR) AS transmission
+    FROM (SELECT DISTINCT substr(vin, 1, 11) AS wmi_vds_prefix, substr(vin, 4, 5) = 'CM826' AS valid, CAST(substr(vin, 10, 1) AS INT) AS y FROM normal) q"""
+
+
+def _in_lake(text: str) -> str:
+    """A chain of steps over the landed view; plain fields are trimmed there, and empty ones null."""
+    assert text.startswith(RAW)
+    plain = ", ".join(f"nullif({c}, '') AS {c}" for c in ("body_style", "fuel_type", "exterior_color", "listed_at", "status"))
+    text = text.replace(_view(views.CACHE, vins="normal"), SEED_CACHE)
+    return LAKE + text[len(RAW) :].replace("body_style, fuel_type, exterior_color, listed_at, status, stock_number,", f"{plain}, stock_number,", 1)
+
+
 def _pct(places: int) -> str:
     """100 * drop / prev with so many places, halves away from zero, as a whole number of units of the last place; 0 is guarded."""
     f = 10 ** (2 + places)
@@ -118,7 +140,7 @@ ORACLES: dict[str, str] = {
     "price_drops": f"WITH {DROPS} SELECT listing_id, vin, prev AS previous_price_cents, price_cents AS current_price_cents, prev - price_cents AS price_drop_cents, {_pct(2)} AS price_drop_pct, prev_at AS previous_observed_at, observed_at AS current_observed_at FROM drops",
     "price_drops_top20": f"WITH {DROPS} SELECT vin, prev AS prev_price, price_cents, {_pct(1)} AS pct_drop FROM drops ORDER BY pct_drop DESC NULLS FIRST, vin, listing_id, observed_at LIMIT 20",
     "latest_price": f"WITH {HISTORY} SELECT listing_id, price_cents AS latest_cents FROM (SELECT *, row_number() OVER (PARTITION BY listing_id ORDER BY observed_at DESC) AS rn FROM history) h WHERE rn = 1",
-    "price_changes": f"WITH {VEHICLES}, {OLD} SELECT s.vin, o.id AS listing_id, s.price_cents, TIMESTAMP '{NOW}' AS observed_at FROM staged s JOIN old o ON s.source = o.source AND s.source_listing_id = o.source_listing_id WHERE s.price_cents IS NOT NULL AND (CASE WHEN CAST(o.id AS BIGINT) % 4 <> 0 THEN o.price_cents END) IS DISTINCT FROM s.price_cents",
+    "price_changes": f"WITH {VEHICLES}, {OLD} SELECT s.vin, o.id AS listing_id, s.price_cents, TIMESTAMP '{NOW}' AS observed_at FROM staged s JOIN old o ON s.source = o.source AND s.source_listing_id = o.source_listing_id WHERE s.price_cents IS NOT NULL AND (CASE WHEN o.status <> 'removed' THEN o.price_cents END) IS DISTINCT FROM s.price_cents",
     "check_digit": f"WITH {RAW} SELECT ord AS ordinal, digit, coalesce(digit = substr(upper(trim(vin)), 9, 1), false) AS is_valid FROM (SELECT *, {_digit('trim(vin)')} AS digit FROM raw) x",
     "build_vin": f"""SELECT o_orderkey, code, substr(v, 1, 8) || {_digit('v')} || substr(v, 10, 8) AS vin FROM (
         SELECT *, '1VWBH7A30' || code || 'C' || lpad(CAST(o_orderkey % 1000000 AS VARCHAR), 6, '0') AS v FROM (SELECT o_orderkey, substr('ABCDEFGHJKLMNPRSTVWXY123456789', CAST(o_custkey % 55 % 30 AS INT) + 1, 1) AS code FROM orders) a) b""",
@@ -149,9 +171,10 @@ ORACLES: dict[str, str] = {
     "upsert_vehicles": f"""WITH {VEHICLES}, {OLDV} SELECT coalesce(n.vin, o.vin) AS vin, coalesce(o.wmi, substr(n.vin, 1, 3)) AS wmi, coalesce(n.make, o.make) AS make, coalesce(n.model, o.model) AS model, CAST(coalesce(trunc(n.model_year), o.model_year) AS INT) AS model_year, coalesce(n.trim, o.trim) AS trim,
         coalesce(n.body_style, o.body_style) AS body_style, coalesce(n.fuel_type, o.fuel_type) AS fuel_type, coalesce(n.drive_train, o.drive_train) AS drive_train, coalesce(n.transmission, o.transmission) AS transmission,
         CASE WHEN o.vin IS NULL OR n.decode_source = 'decoded' THEN n.decode_source ELSE o.decode_source END AS decode_source, o.vin IS NULL AS is_new, n.vin IS NOT NULL AS seen FROM vehicles n FULL JOIN oldv o ON n.vin = o.vin""",
-    "backfill": f"WITH {OLD}, own AS (SELECT DISTINCT 'OLD' || CAST(o_custkey AS VARCHAR) AS vin, 'M' || CAST(o_custkey % 7 AS VARCHAR) AS make FROM orders WHERE o_custkey % 2 = 0) SELECT o.id, coalesce(o.make, w.make) AS make, CASE WHEN o.make IS NULL AND w.vin IS NOT NULL THEN 'X' ELSE o.model END AS model, CASE WHEN o.make IS NULL AND w.vin IS NOT NULL THEN 2010 ELSE o.model_year END AS model_year FROM old o LEFT JOIN own w ON o.vin = w.vin",
+    "backfill": f"WITH {OLD}, own AS ({_view(views.OWN_VEHICLES)}) SELECT o.id, coalesce(o.make, w.make) AS make, CASE WHEN o.make IS NULL AND w.vin IS NOT NULL THEN 'X' ELSE o.model END AS model, CASE WHEN o.make IS NULL AND w.vin IS NOT NULL THEN 2010 ELSE o.model_year END AS model_year FROM old o LEFT JOIN own w ON o.vin = w.vin",
     "dup_conflict": f"""WITH {NORMAL}, s AS (SELECT vin, source, count(*) AS n FROM normal GROUP BY ALL), v AS (SELECT vin, max(n) AS most, count(*) AS k FROM s GROUP BY vin), y AS (SELECT vin, count(DISTINCT raw_year) > 1 AS c FROM normal GROUP BY vin)
-        SELECT count(*) AS unique_vins, count(*) FILTER (WHERE most > 1) AS within_source_duplicate, count(*) FILTER (WHERE k > 1) AS cross_source_duplicate, count(*) FILTER (WHERE c) AS year_conflict, CAST(round(1000000.0 * count(*) FILTER (WHERE c) / count(*)) AS BIGINT) AS year_conflict_rate_ppm FROM v JOIN y USING (vin)""",
+        SELECT count(*) AS unique_vins, count(*) FILTER (WHERE most > 1) AS within_source_duplicate, count(*) FILTER (WHERE k > 1) AS cross_source_duplicate, count(*) FILTER (WHERE c) AS year_conflict, CAST(round(1000000.0 * count(*) FILTER (WHERE c) / count(*)) AS BIGINT) AS year_conflict_rate_ppm,
+        CAST(round(1000000.0 * count(*) FILTER (WHERE most > 1) / count(*)) AS BIGINT) AS within_source_duplicate_rate_ppm, CAST(round(1000000.0 * count(*) FILTER (WHERE k > 1) / count(*)) AS BIGINT) AS cross_source_duplicate_rate_ppm FROM v JOIN y USING (vin)""",
     "price_outliers": f"WITH {LISTING}, g AS (SELECT make, model, count(*) AS n, avg(price_cents) AS m, stddev_pop(price_cents) AS d FROM listing WHERE price_cents IS NOT NULL GROUP BY ALL) SELECT count(*) FILTER (WHERE abs(price_cents - m) / d > 1.75) AS outliers, count(*) AS scored FROM listing JOIN g USING (make, model) WHERE price_cents IS NOT NULL AND n >= 5 AND d > 0",
     "completeness": f"""WITH {NORMAL}, c AS (SELECT source, count(*) AS rows_in, count(*) FILTER (WHERE {REASONS} = '') AS valid, count(*) FILTER (WHERE {REASONS} <> '') AS quarantined FROM checked GROUP BY source),
         k AS (SELECT source, count(price_cents) AS priced, count(odometer_km) AS with_odometer, count(trim) AS with_trim, count(*) FILTER (WHERE matched) AS known_trim FROM normal GROUP BY source)
@@ -161,8 +184,36 @@ ORACLES: dict[str, str] = {
     "run_metrics": f"WITH runs AS ({_view(views.RUNS)}), metrics AS ({_view(views.METRICS)}) SELECT m.source, metric_name, metric_value FROM metrics m JOIN runs r ON r.id = m.run_id WHERE r.run_id = 'run-1'",
     "table_counts": " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in views.TABLES),
     "both_sources": f"WITH {RAW} SELECT source, batch_id, count(*) AS n FROM raw GROUP BY ALL",
-    "manifest_rollup": f"WITH {RAW} SELECT source, count(*) AS total_rows, count(DISTINCT batch_id) AS total_objects FROM raw GROUP BY source",
-    "cached_prefixes": f"WITH {SURVIVORS} SELECT wmi_vds_prefix, valid, year FROM cache WHERE wmi_vds_prefix IN (SELECT substr(vin, 1, 11) FROM survivors WHERE first_ordinal % 2 = 0)",
+    "manifest_rollup": f"WITH {LAKE} SELECT source, count(*) AS total_rows, count(DISTINCT batch_id) AS total_objects, CAST(1 AS BIGINT) AS dates FROM raw GROUP BY source",
+    "cached_prefixes": f"WITH {SURVIVORS} SELECT wmi_vds_prefix, valid, year FROM cache WHERE wmi_vds_prefix IN (SELECT substr(vin, 1, 11) FROM survivors WHERE trim IS NOT NULL)",
+    "landed_batches": f"WITH {LAKE}, b AS (SELECT source, batch_id AS key, count(*) AS n FROM raw GROUP BY ALL) SELECT source, CASE source WHEN 'dealer-feed-a' THEN '2026-01-01' ELSE '2026-01-02' END AS date, key, n, CAST(sum(n) OVER w AS BIGINT) AS total_rows, count(*) OVER w AS total_objects, true AS compressed FROM b WINDOW w AS (PARTITION BY source)",
+    "bronze_read": f"""WITH {LAKE} SELECT source, batch_id, vin AS vin_text, 'string' AS vin_kind, price AS price_text, price_kind, stock_number AS stocknumber_text, CASE WHEN stock_number IS NULL THEN 'missing' ELSE 'string' END AS stocknumber_kind,
+        trim AS trim_text, CASE WHEN trim IS NULL THEN 'missing' ELSE 'string' END AS trim_kind, CAST(NULL AS VARCHAR) AS interiorcolor_text, 'missing' AS interiorcolor_kind FROM raw""",
+    "bronze_read_date": f"WITH {LAKE} SELECT source, batch_id, count(*) AS n FROM raw WHERE source = 'marketplace-b' GROUP BY ALL",
+    "lake_run": f"""WITH {_in_lake(VEHICLES)}, per AS (SELECT source, batch_id, count(*) AS n, count(*) FILTER (WHERE {REASONS} = '') AS good, count(*) FILTER (WHERE {REASONS} <> '') AS bad FROM checked GROUP BY ALL),
+        s AS (SELECT vin, source, count(*) AS n FROM normal GROUP BY ALL), v AS (SELECT vin, max(n) AS most, count(*) AS k FROM s GROUP BY vin), y AS (SELECT vin, count(DISTINCT raw_year) > 1 AS c FROM normal GROUP BY vin),
+        d AS (SELECT count(*) AS u, count(*) FILTER (WHERE most > 1) AS w, count(*) FILTER (WHERE k > 1) AS x, count(*) FILTER (WHERE c) AS y, (SELECT count(*) FROM normal) AS n FROM v JOIN y USING (vin)),
+        p AS (SELECT count(DISTINCT substr(vin, 1, 11)) AS p, (SELECT count(*) FROM staged) AS l, (SELECT count(price_cents) FROM staged) AS h FROM vehicles)
+        SELECT 'stage' AS section, 'validate' AS name, source, CAST(sum(n) AS BIGINT) AS n, CAST(sum(good) AS BIGINT) AS rows_out, CAST(sum(bad) AS BIGINT) AS rejects, count(*) AS batches FROM per GROUP BY source
+        UNION ALL SELECT 'stage', 'normalize', source, CAST(sum(good) AS BIGINT), CAST(sum(good) AS BIGINT), 0, count(*) FROM per GROUP BY source
+        UNION ALL SELECT 'stage', 'summary', source, CAST(sum(n) AS BIGINT), CAST(sum(good) AS BIGINT), CAST(sum(bad) AS BIGINT), 1 FROM per GROUP BY source
+        UNION ALL SELECT 'stage', 'dedupe', 'all', n, u, 0, 1 FROM d UNION ALL SELECT 'stage', unnest(['enrich', 'load']), 'all', u, u, 0, 1 FROM d
+        UNION ALL SELECT 'table', unnest(['vehicles', 'listings', 'price_history', 'quarantine', 'decode_cache']), '', unnest([u, l, h, (SELECT CAST(sum(bad) AS BIGINT) FROM per), p]), NULL, NULL, NULL FROM d, p
+        UNION ALL SELECT 'reason', reason, source, count(*), NULL, NULL, NULL FROM (SELECT source, unnest([r1, r2]) AS reason FROM checked) u WHERE reason IS NOT NULL GROUP BY ALL
+        UNION ALL SELECT 'metric', unnest(['unique_vins', 'vins_within_source_duplicate', 'vins_cross_source_duplicate', 'vins_with_year_conflict', 'unique_prefixes', 'cache_hits', 'decode_calls_made', 'vehicles_upserted', 'listings_upserted', 'price_history_rows_written']), 'all',
+            1000000 * unnest([u, w, x, y, p, 0, p, u, l, h]), NULL, NULL, NULL FROM d, p
+        UNION ALL SELECT 'metric', unnest(['within_source_duplicate_rate', 'cross_source_duplicate_rate', 'conflict_rate']), 'all', CAST(round(1000000.0 * unnest([w, x, y]) / u) AS BIGINT), NULL, NULL, NULL FROM d""",
+    "lake_gold": f"""WITH {_in_lake(VEHICLES)} SELECT vehicle_make AS make, vehicle_model AS model, CAST(trunc(vehicle_year) AS INT) AS model_year, CAST(NULL AS VARCHAR) AS province, count(*) AS listing_count, {_rounded('price_cents')} AS avg_price_cad, CAST(floor(quantile_cont(price_cents, 0.5) + 0.5) AS BIGINT) AS median_price_cad,
+        {_rounded('odometer_km')} AS avg_odometer_km FROM staged WHERE status1 = 'active' AND price_cents IS NOT NULL AND vehicle_make IS NOT NULL GROUP BY ALL""",
+    "stream_ingest": f"WITH {_in_lake(CHECKED)} SELECT CASE WHEN r1 IS NULL AND r2 IS NULL THEN 'normal' ELSE 'rejected' END AS table_name, count(*) AS n FROM checked WHERE source = 'dealer-feed-a' GROUP BY 1",
+    "store_append": f"WITH {HISTORY} SELECT listing_id, count(*) + count(*) FILTER (WHERE price_cents > 5000) AS n, CAST(sum(price_cents) + coalesce(sum(price_cents) FILTER (WHERE price_cents > 5000), 0) AS BIGINT) AS cents FROM history GROUP BY listing_id",
+    "seed_decode": f"""WITH seeds(i, make, model, body_style, fuel_type, low, high) AS (VALUES {", ".join(f"({i}, '{s[3]}', '{s[4]}', '{s[5]}', '{s[6]}', {s[8]}, {s[9]})" for i, s in enumerate(generator.SEEDS))})
+        SELECT o_orderkey, i IS NOT NULL AS valid, make, model, CAST(low + o_orderkey % (high - low + 1) AS INT) AS year, body_style, fuel_type FROM orders LEFT JOIN seeds ON o_custkey % {len(generator.SEEDS) + 1} = i""",
+    "broken_vins": "SELECT o_orderkey, true AS digit_is_wrong, true AS length_is_wrong, true AS neither_is_whole FROM orders",
+    "generated_rows": "SELECT CAST(unnest(range(n + n // 2)) AS BIGINT) AS row, true AS vin_ok, true AS seed_ok, true AS range_ok, true AS price_ok, true AS place_ok, true AS status_ok FROM (SELECT count(*) AS n FROM orders) o",
+    "formatted_measures": f"WITH metrics AS ({_view(views.METRICS)}), v AS (SELECT DISTINCT CAST(metric_value AS BIGINT) AS q FROM metrics) SELECT q AS quarters, CASE WHEN q % 4 = 0 THEN CAST(q // 4 AS VARCHAR) WHEN q < 4 THEN printf('%.2f%%', q * 25.0) ELSE printf('%.2f', q / 4.0) END AS text FROM v",
+    "gold_market_stats": f"WITH {LISTING} SELECT make, model, model_year, province, count(*) AS listing_count, {_rounded('price_cents')} AS avg_price_cad, CAST(floor(quantile_cont(price_cents, 0.5) + 0.5) AS BIGINT) AS median_price_cad, {_rounded('odometer_km')} AS avg_odometer_km FROM listing WHERE {STATS} GROUP BY ALL",
+    "price_outliers_3s": "WITH e AS (SELECT event_type, CAST(floor(value * value) AS BIGINT) AS p FROM events), g AS (SELECT event_type, avg(p) AS m, stddev_pop(p) AS d, count(*) AS n FROM e GROUP BY 1) SELECT count(*) FILTER (WHERE abs(p - m) / d > 3) AS outliers, count(*) AS scored FROM e JOIN g USING (event_type) WHERE n >= 5 AND d > 0 AND p IS NOT NULL",
     "date_label": "SELECT strftime(o_orderdate, '%Y-%m-%d') AS label, count(*) AS n FROM orders GROUP BY 1",
     "outlier_rows": f"WITH {LISTING}, g AS (SELECT make, model, count(*) AS n, avg(price_cents) AS m, stddev_pop(price_cents) AS d FROM listing WHERE price_cents IS NOT NULL GROUP BY ALL) SELECT make, count(*) AS n FROM listing JOIN g USING (make, model) WHERE price_cents IS NOT NULL AND g.n >= 5 AND d > 0 AND abs(price_cents - m) / d > 1.75 GROUP BY make",
 }

@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions import spelling, vin
 from ..operators import enrich, normalize, quality, survivorship, upsert, validate
-from ..sources import generator
-from ..sources.staging import staged
-from . import gold, views
+from ..pipeline import refresh_gold
+from ..schemas import SOURCE_A, SOURCE_B
+from ..sources import bronze, generator
+from ..sources.staging import new_folder, staged
+from ..sources.store import Store
+from ..streaming.ingest import ingest
+from . import gold, lake, views
 from .views import Views
 
 YEAR = 2026
@@ -72,11 +76,13 @@ def browse_topk(spark, sf_dir):
 
 def browse_wide(spark, sf_dir):
     """Browsing without make and model: enough rows for the limit to cut."""
-    df = Views(spark, sf_dir).listing()
-    from ..functions.pg import asc
+    return gold.browse(Views(spark, sf_dir).listing(), None, None, (1993, 1997), "NATION_3", 50)
 
-    own = F.col("model_year").between(1993, 1997) & (F.col("province") == "NATION_3") & (F.col("status") == "active")
-    return df.where(own).orderBy(asc("price_cents"), "id").limit(50).select("id", "vin", "price_cents", "odometer_km", "city")
+
+def gold_market_stats(spark, sf_dir):
+    """The gold table itself, its dollars as cents."""
+    out = gold.market_stats(Views(spark, sf_dir).listing())
+    return out.withColumns({c: (F.col(c) * 100).cast("long") for c in ("avg_price_cad", "median_price_cad")})
 
 
 def make_stats_topk(spark, sf_dir):
@@ -109,7 +115,7 @@ def latest_price(spark, sf_dir):
 def price_changes(spark, sf_dir):
     s = Steps(spark, sf_dir)
     old = s.old_listings()
-    history = old.where(F.col("id").cast("long") % 4 != 0).select("vin", F.col("id").alias("listing_id"), "price_cents", F.lit("2020-01-01 00:00:00").cast("timestamp").alias("observed_at"))
+    history = old.where("status <> 'removed'").select("vin", F.col("id").alias("listing_id"), "price_cents", F.lit("2020-01-01 00:00:00").cast("timestamp").alias("observed_at"))
     return upsert.price_changes(s.batch, old, history, now())
 
 
@@ -227,19 +233,25 @@ def upsert_vehicles(spark, sf_dir):
 
 def backfill(spark, sf_dir):
     s = Steps(spark, sf_dir)
-    own = s.v.sql("SELECT DISTINCT 'OLD' || CAST(o_custkey AS STRING) AS vin, 'M' || CAST(o_custkey % 7 AS STRING) AS make, 'X' AS model, 2010 AS model_year FROM {orders} WHERE o_custkey % 2 = 0")
-    return upsert.backfill(s.old_listings(), own).select("id", "make", "model", "model_year")
+    return upsert.backfill(s.old_listings(), s.v.sql(views.OWN_VEHICLES)).select("id", "make", "model", "model_year")
 
 
 def dup_conflict(spark, sf_dir):
     out = quality.duplicate_conflict(Steps(spark, sf_dir).normal)
-    return out.select("unique_vins", "within_source_duplicate", "cross_source_duplicate", "year_conflict", F.round(F.col("year_conflict_rate") * 1000000).cast("long").alias("year_conflict_rate_ppm"))
+    rates = ("within_source_duplicate", "cross_source_duplicate", "year_conflict")
+    return out.select("unique_vins", *rates, *(F.round(F.col(f"{c}_rate") * 1000000).cast("long").alias(f"{c}_rate_ppm") for c in rates))
 
 
 def price_outliers(spark, sf_dir):
     return quality.price_outliers(Views(spark, sf_dir).listing(), sigmas=1.75)
 
 
+def price_outliers_3s(spark, sf_dir):
+    """At the default of three deviations, over observed prices by kind of event: their tails are long enough."""
+    rows = Views(spark, sf_dir).table("events").select(F.col("event_type").alias("make"), F.lit("all").alias("model"), F.floor(F.col("value") * F.col("value")).cast("long").alias("price_cents"))
+    return quality.price_outliers(rows)
+
+
 def completeness(spark, sf_dir):
     s = Steps(spark, sf_dir)
     out = quality.completeness(s.checked, s.normal)
@@ -267,25 +279,142 @@ def table_counts(spark, sf_dir):
 def both_sources(spark, sf_dir):
     """Bag union of two feeds, by source and batch."""
     raw = Views(spark, sf_dir).raw()
-    both = raw.where("source = 'dealer-feed-a'").unionByName(raw.where("source = 'marketplace-b'"))
+    both = bronze.both([raw.where(F.col("source") == s) for s in (SOURCE_A, SOURCE_B)])
     return both.groupBy("source", "batch_id").agg(F.count("*").alias("n"))
 
 
+def landed_batches(spark, sf_dir):
+    """Batches as the manifests of a landing name them, with their rows."""
+    _, manifests = lake.landed(spark, sf_dir)
+    rows = [(m["source"], m["date"], b["key"], b["rows"], m["totalRows"], m["totalObjects"], b["compressedBytes"] > 0) for m in manifests.values() for b in m["batches"]]
+    return spark.createDataFrame(rows, "source string, date string, key string, n long, total_rows long, total_objects long, compressed boolean")
+
+
 def manifest_rollup(spark, sf_dir):
     """Rows and batches by source, as the manifests hold them."""
-    batches = Views(spark, sf_dir).raw().groupBy("source", "batch_id").agg(F.count("*").alias("n"))
-    return batches.groupBy("source").agg(F.sum("n").cast("long").alias("total_rows"), F.count("*").alias("total_objects"))
+    root, _ = lake.landed(spark, sf_dir)
+    return spark.createDataFrame(bronze.list_bronze(root), "source string, total_objects long, dates long, total_rows long")
+
+
+def bronze_read(spark, sf_dir):
+    """Records as they are read from landed files: texts and kinds of some fields."""
+    root, _ = lake.landed(spark, sf_dir)
+    own = [F.col(f"f.{c}.{x}").alias(f"{c.lower()}_{x}") for c in ("vin", "price", "stockNumber", "trim", "interiorColor") for x in ("text", "kind")]
+    return bronze.read(spark, root).select("source", "batch_id", *own)
+
+
+def bronze_read_date(spark, sf_dir):
+    """Records of one date, of which another source has none."""
+    root, _ = lake.landed(spark, sf_dir)
+    return bronze.read(spark, root, lake.DAYS[SOURCE_B]).groupBy("source", "batch_id").agg(F.count("*").alias("n"))
+
+
+def lake_run(spark, sf_dir):
+    """What a run of the pipeline leaves: rows by stage, by table, by reason of rejection, and its measures in millionths."""
+    root, run_id = lake.ran(spark, sf_dir, YEAR, NOW)
+    store = Store(spark, f"{root}/silver")
+    runs = store.table("pipeline_runs")
+    none = F.lit(None).cast("long")
+    stages = quality.stage_rollup(runs.where(F.col("run_id") == quality.latest_run(runs).first().run_id)).select(F.lit("stage").alias("section"), F.col("stage").alias("name"), "source", F.col("rows_in").alias("n"), "rows_out", "rejects", "batches")
+    tables = quality.table_counts({t: store.table(t) for t in ("vehicles", "listings", "price_history", "quarantine", "decode_cache")})
+    reasons = quality.reason_counts(store.table("quarantine"))
+    metrics = quality.run_metrics(store.table("quality_metrics"), runs, run_id).where("source = 'all'").where(~F.col("metric_name").isin("decode_success_rate", "make_model_agreement_rate", "year_conflict_listings", "price_outlier_rate"))
+    more = [
+        tables.select(F.lit("table").alias("section"), F.col("table_name").alias("name"), F.lit("").alias("source"), "n"), reasons.select(F.lit("reason").alias("section"), F.col("reason").alias("name"), "source", "n"),
+        metrics.select(F.lit("metric").alias("section"), F.col("metric_name").alias("name"), "source", F.round(F.col("metric_value") * 1000000).cast("long").alias("n")),
+    ]
+    for df in more:
+        stages = stages.unionByName(df.withColumns(dict.fromkeys(("rows_out", "rejects", "batches"), none)))
+    return stages
+
+
+def lake_gold(spark, sf_dir):
+    """The refreshed gold table of a lake on which the pipeline ran, its dollars as cents."""
+    root, _ = lake.ran(spark, sf_dir, YEAR, NOW)
+    out = refresh_gold(spark, root)["gold_market_stats"]
+    return out.withColumns({c: (F.col(c) * 100).cast("long") for c in ("avg_price_cad", "median_price_cad")})
+
+
+def stream_ingest(spark, sf_dir):
+    """Landed batches taken in as a stream: rows that were kept, and rejects."""
+    root, _ = lake.landed(spark, sf_dir)
+    out = new_folder(spark, "stream")
+    ingest(spark, root, f"{out}/rows", YEAR, f"{out}/checkpoint").awaitTermination()
+    kept, rejected = (spark.read.parquet(f"{out}/rows/{x}") for x in ("normal", "rejected"))
+    return quality.table_counts({"normal": kept, "rejected": rejected})
+
+
+def store_append(spark, sf_dir):
+    """A table committed, added to, and written without a commit: readers see the first two."""
+    store = Store(spark, new_folder(spark, "silver"))
+    rows = Views(spark, sf_dir).history()
+    rows = rows.withColumn("observed_at", F.col("observed_at").cast("timestamp"))
+    store.commit(price_history=rows)
+    store.append(price_history=rows.where("price_cents > 5000"))
+    store.write("price_history", rows)
+    store.vacuum()
+    return store.table("price_history").groupBy("listing_id").agg(F.count("*").alias("n"), F.sum("price_cents").alias("cents"))
 
 
 def cached_prefixes(spark, sf_dir):
     """Cache rows of the prefixes that a run asks for."""
     s = Steps(spark, sf_dir)
-    asked = s.survivors.where("first_ordinal % 2 = 0").select(vin.prefix(F.col("vin")).alias("wmi_vds_prefix"))
-    return s.cache.join(asked, "wmi_vds_prefix", "left_semi").select("wmi_vds_prefix", "valid", "year")
+    return enrich.cached(s.survivors.where("trim is not null"), s.cache).select("wmi_vds_prefix", "valid", "year")
+
+
+def seed_decode(spark, sf_dir):
+    """VINs built from the generator's seeds, decoded by the default decoder; prefixes of no seed stay undecoded."""
+    rows = generator.decoder_rows()
+    seeds = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, wmi string, vds string, plant string, make string, model string, body_style string, fuel_type string, first_year int, last_year int")
+    o = Views(spark, sf_dir).table("orders").withColumn("i", (F.col("o_custkey") % (len(rows) + 1)).cast("int"))
+    year = (F.col("first_year") + F.col("o_orderkey") % (F.col("last_year") - F.col("first_year") + 1)).cast("int")
+    serial = F.lpad((F.col("o_orderkey") % 1000000).cast("string"), 6, "0")
+    known = vin.build(F.col("wmi"), F.col("vds"), year, F.col("plant"), serial)
+    other = vin.build(F.lit("9ZZ"), F.lit("00000"), F.lit(2020), F.lit("Z"), serial)
+    vins = o.join(F.broadcast(seeds), "i", "left").select("o_orderkey", F.coalesce(known, other).alias("vin"))
+    decoded = enrich.seed_decoder(spark, rows)(vins.groupBy(vin.prefix(F.col("vin")).alias("prefix")).agg(F.min("vin").alias("vin")))
+    return vins.join(decoded, vin.prefix(F.col("vin")) == F.col("wmi_vds_prefix")).select("o_orderkey", "valid", "make", "model", "year", "body_style", "fuel_type")
+
+
+def broken_vins(spark, sf_dir):
+    """VINs with a wrong digit, and of a wrong length: what is left of the right one."""
+    o = Views(spark, sf_dir).table("orders")
+    whole = vin.build(F.lit("1VW"), F.lit("BH7A3"), F.lit(2015), F.lit("C"), F.lpad((F.col("o_orderkey") % 1000000).cast("string"), 6, "0"))
+    rows = o.select("o_orderkey", whole.alias("whole"))
+    for name, rate in (("digit", {"vin_length": 0.0, "vin_digit": 1.0}), ("length", {"vin_length": 1.0, "vin_digit": 0.0}), ("neither", {"vin_length": 0.0, "vin_digit": 0.0})):
+        rows = rows.withColumn(name, generator.broken_vin(F.col("whole"), generator.Draws(42, F.col("o_orderkey"), name), rate))
+    same = lambda a, b: (F.substring(a, 1, 8) == F.substring(b, 1, 8)) & (F.substring(a, 10, 8) == F.substring(b, 10, 8))
+    return rows.select(
+        "o_orderkey", (same("digit", "whole") & ~vin.is_valid(F.col("digit")) & (F.length("digit") == 17)).alias("digit_is_wrong"),
+        (F.length("length").isin(16, 18) & (F.substring("length", 1, 16) == F.substring("whole", 1, 16))).alias("length_is_wrong"), (F.col("neither") == F.col("whole")).alias("neither_is_whole"),
+    )
+
+
+def generated_rows(spark, sf_dir):
+    """As many generated listings of either source as there are orders, each against the seeds and rules that it is made by."""
+    n = Views(spark, sf_dir).table("orders").count()
+    a, b = generator.listings(spark, 42, n, n // 2, 0.1, "2026-01-01")
+    seeds = spark.createDataFrame([(s[0], s[1], s[2], s[3], s[4], s[5], s[6], s[7], s[8], s[9], s[10]) for s in generator.SEEDS], "wmi string, vds string, plant string, s_make string, s_model string, body string, fuel string, trims array<string>, low int, high int, base int")
+    cities = spark.createDataFrame(generator.CITIES, "s_province string, s_city string, lat double, lon double")
+    v = F.col("vin")
+    out = a.unionByName(b).join(F.broadcast(seeds), (F.substring(v, 1, 3) == F.col("wmi")) & (F.substring(v, 4, 5) == F.col("vds")) & (F.substring(v, 11, 1) == F.col("plant")), "left")
+    out = out.join(F.broadcast(cities), (F.col("province") == F.col("s_province")) & (F.col("city") == F.col("s_city")), "left")
+    return out.select(
+        F.col("row"), vin.is_valid(v).alias("vin_ok"), ((F.col("make") == F.col("s_make")) & (F.col("model") == F.col("s_model")) & (F.col("bodyStyle") == F.col("body")) & (F.col("fuelType") == F.col("fuel"))).alias("seed_ok"),
+        (F.array_contains("trims", F.col("trim")) & F.col("year").between(F.col("low") - 1, F.col("high") + 1)).alias("range_ok"),
+        ((F.col("price") % 100 == 0) & F.col("price").between(F.floor(F.col("base") * 0.35 * 0.85) - 1500, F.floor(F.col("base") * 1.15) + 1900)).alias("price_ok"),
+        ((F.abs(F.col("latitude") - F.col("lat")) <= 0.0501) & (F.abs(F.col("longitude") - F.col("lon")) <= 0.0501)).alias("place_ok"), F.col("status").isin("active", "removed").alias("status_ok"),
+    )
+
+
+def formatted_measures(spark, sf_dir):
+    """Values of measures as the report writes them: whole numbers, shares, and others."""
+    values = Views(spark, sf_dir).sql(views.METRICS).select((F.col("metric_value") / 4).alias("v")).distinct().collect()  # 17 values
+    return spark.createDataFrame([(int(4 * r.v), quality.formatted(r.v)) for r in values], "quarters long, text string")
 
 
 def date_label(spark, sf_dir):
-    return Views(spark, sf_dir).table("orders").groupBy(F.date_format("o_orderdate", "yyyy-MM-dd").alias("label")).agg(F.count("*").alias("n"))
+    return Views(spark, sf_dir).table("orders").groupBy(bronze.date_label(F.col("o_orderdate")).alias("label")).agg(F.count("*").alias("n"))
 
 
 def outlier_rows(spark, sf_dir):
@@ -296,6 +425,7 @@ NAMES = [
     market_stats, browse_topk, browse_wide, make_stats_topk, vin_history, recent_topk, price_drops, price_drops_top20, latest_price, price_changes, check_digit, build_vin, validate_split, reason_counts,
     quarantine_hash, quarantine_age, rejection_rate, parse_price, odometer_units, trim_canonical, normalized, french_names, spellings, survivors, completeness_score, decode_misses, enrich_vehicles, enrich_listings,
     enrich_metrics, listing_keys, upsert_listings, upsert_vehicles, backfill, dup_conflict, price_outliers, completeness, stage_rollup, latest_run, run_metrics, table_counts, both_sources, manifest_rollup,
-    cached_prefixes, date_label, outlier_rows,
+    cached_prefixes, date_label, outlier_rows, gold_market_stats, price_outliers_3s, landed_batches, bronze_read, bronze_read_date, lake_run, lake_gold, stream_ingest, store_append, seed_decode, broken_vins,
+    generated_rows, formatted_measures,
 ]
 QUERIES = {f.__name__: f for f in NAMES}

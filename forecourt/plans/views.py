@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import FIELDS
+from ..sources.staging import spread
 
 LISTING = """
 SELECT CAST(l.l_orderkey AS STRING) || '-' || CAST(l.l_linenumber AS STRING) || '-' || CAST(l.l_partkey AS STRING) || '-' || CAST(l.l_suppkey AS STRING) || '-' || CAST(CAST(floor(l.l_extendedprice * 100 + 0.5) AS BIGINT) AS STRING) AS id,
@@ -52,7 +53,7 @@ SELECT ord, CASE WHEN ord % 2 = 0 THEN 'dealer-feed-a' ELSE 'marketplace-b' END
        CASE WHEN ord % 8 = 0 THEN NULL ELSE 'c' || CAST(ord % 3 AS STRING) END AS exterior_color,
        CASE WHEN ord % 16 = 5 THEN NULL ELSE CAST(year(o_orderdate) AS STRING) || '-' || lpad(CAST(month(o_orderdate) AS STRING), 2, '0') || '-01T00:00:00.000Z' END AS listed_at,
        CASE WHEN ord % 12 = 7 THEN NULL WHEN ord % 10 = 0 THEN 'removed' ELSE 'active' END AS status,
-       CASE WHEN ord % 18 = 5 THEN NULL ELSE 'STK' || CAST(ord % 3000 AS STRING) END AS stock_number
+       CASE WHEN ord % 18 = 5 THEN NULL ELSE 'STK' || CAST(ord - ord % 5 AS STRING) END AS stock_number
 FROM (
     SELECT *, '1HGCM' || body || substr('0123456789X', CAST(sum11 % 11 AS INT) + 1, 1) || CAST(y AS STRING) || 'A' || serial AS whole,
            CASE WHEN dollars >= 1000 THEN CAST(CAST((dollars - dollars % 1000) / 1000 AS BIGINT) AS STRING) || ',' || lpad(CAST(dollars % 1000 AS STRING), 3, '0') ELSE CAST(dollars AS STRING) END AS spaced
@@ -73,13 +74,13 @@ SELECT wmi_vds_prefix, n % 5 <> 0 AS valid, CASE WHEN n % 4 = 0 THEN ' ' WHEN n
 FROM (SELECT DISTINCT substr(vin, 1, 11) AS wmi_vds_prefix, CAST(substr(vin, 6, 3) AS INT) AS n, CAST(substr(vin, 10, 1) AS INT) AS y FROM {vins}) q WHERE n % 3 <> 2
 """
 
-#: Silver rows before a batch.
+#: Silver rows before a batch: one for every order, of which a fifth have a stock number that the batch may use.
 OLD_LISTINGS = """
 SELECT CAST(o_orderkey AS STRING) AS id, 'OLD' || CAST(o_custkey AS STRING) AS vin, CASE WHEN o_orderkey % 2 = 0 THEN 'dealer-feed-a' ELSE 'marketplace-b' END AS source, 'STK' || CAST(o_orderkey AS STRING) AS source_listing_id, 'old' AS batch_id,
        CAST(floor(o_totalprice) AS BIGINT) * 100 AS price_cents, 'CAD' AS currency, CAST(o_orderkey % 1000 AS INT) AS odometer_km, 'old' AS trim_raw, 'ON' AS province, 'Ottawa' AS city, CAST(1.5 AS DECIMAL(9, 6)) AS latitude, CAST(NULL AS DECIMAL(9, 6)) AS longitude,
        CASE WHEN o_orderkey % 5 = 0 THEN 'removed' ELSE 'active' END AS status, FALSE AS year_conflict, TIMESTAMP '2020-01-01 00:00:00' AS listed_at, CAST(NULL AS TIMESTAMP) AS delisted_at,
        CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 'OldMake' END AS make, 'OldModel' AS model, 1999 AS model_year, TIMESTAMP '2020-01-01 00:00:00' AS created_at, TIMESTAMP '2020-01-01 00:00:00' AS updated_at
-FROM {orders} WHERE o_orderkey < 2500
+FROM {orders}
 """
 OLD_VEHICLES = """
 SELECT vin, substr(vin, 1, 3) AS wmi, 'OldMake' AS make, CAST(NULL AS STRING) AS model, 1999 AS model_year, 'old' AS trim, CAST(NULL AS STRING) AS body_style, 'diesel' AS fuel_type, 'AWD' AS drive_train, CAST(NULL AS STRING) AS transmission,
@@ -91,7 +92,9 @@ SELECT CAST(event_id AS STRING) AS id, 'run-' || CAST(user_id % 3 AS STRING) AS
        CAST(event_id % 90 AS BIGINT) AS rows_out, CAST(event_id % 10 AS BIGINT) AS rejects, ts AS started_at, CAST(event_id % 1000 AS BIGINT) AS duration_ms
 FROM {events}
 """
-METRICS = "SELECT CAST(event_id AS STRING) AS run_id, 'all' AS source, 'm' || CAST(event_id % 5 AS STRING) AS metric_name, CAST(event_id % 17 AS DOUBLE) AS metric_value FROM {events} WHERE event_id % 4 = 0"
+METRICS = "SELECT CAST(event_id AS STRING) AS run_id, 'all' AS source, 'm' || CAST(event_id % 5 AS STRING) AS metric_name, CAST(event_id % 17 AS DOUBLE) AS metric_value FROM {events}"
+#: Vehicles from which listings are filled in.
+OWN_VEHICLES = "SELECT DISTINCT 'OLD' || CAST(c_custkey AS STRING) AS vin, 'M' || CAST(c_custkey % 7 AS STRING) AS make, 'X' AS model, 2010 AS model_year FROM {customer} WHERE c_acctbal > 0"
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 
@@ -115,9 +118,13 @@ class Views:
     def history(self) -> DataFrame:
         return self.sql(HISTORY)
 
+    def flat(self) -> DataFrame:
+        """The raw feed's columns. The table may be one file: it is dealt over the cluster as landed files are."""
+        return self.spark.sql(RAW, orders=spread(self.table("orders")))
+
     def raw(self) -> DataFrame:
         """Raw records as the bronze reader gives them."""
-        flat = self.sql(RAW)
+        flat = self.flat()
         own = {"bodyStyle": "body_style", "fuelType": "fuel_type", "exteriorColor": "exterior_color", "listedAt": "listed_at", "stockNumber": "stock_number"}
         kinds = lambda c: F.col("price_kind") if c == "price" else F.when(F.col(own.get(c, c)).isNull(), "missing").otherwise("string")
         none = F.struct(F.lit(None).cast("string").alias("text"), F.lit("missing").alias("kind"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 import gzip
 from collections.abc import Iterator
 from datetime import datetime, timezone
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import FIELDS, FRENCH, SOURCE_A, SOURCE_B, SOURCES
 from .files import names, read_json, write_bytes, write_json
+from .staging import spread
 
 SUFFIX = {SOURCE_A: ".ndjson", SOURCE_B: ".csv"}
 
@@ -111,17 +113,32 @@ def raw_b(rows: DataFrame) -> DataFrame:
 
 
 def read(spark: SparkSession, root: str, date: str | None = None) -> DataFrame | None:
-    """Raw records of all landed batches, or of one date; only its partitions are read. None if there are none."""
-    out = None
+    """Raw records of the batches that the manifests of all dates, or of one, name with any rows. None if there are none.
+
+    Files that no manifest names, as an earlier landing may have left, are not read.
+    """
+    found = []
     for number, source in enumerate(SOURCES):
-        if not any(b["rows"] for m in manifests(root, source, date) for b in m["batches"]):
+        paths = [f"{root}/{b['key']}" for m in manifests(root, source, date) for b in m["batches"] if b["rows"]]
+        if not paths:
             continue
         reader = spark.read.option("basePath", f"{root}/bronze")
-        path = f"{root}/bronze/source={source}" + (f"/date={date}" if date else "")
+        # Rows are numbered where they are read, and then dealt over the cluster: a gzip file is one task.
         if source == SOURCE_A:
-            rows = raw_a(reader.text(path).select("value", F.col("date").cast("string").alias("date"), _batch_id()).select("value", "batch_id", _ordinal(number)))
+            lines = reader.text(paths).select("value", F.col("date").cast("string").alias("date"), _batch_id()).select("value", "batch_id", _ordinal(number))
+            found.append(raw_a(spread(lines)))
         else:
-            table = reader.options(header=True, quote='"', escape='"', multiLine=True, mode="FAILFAST", emptyValue="", nullValue="\u0000").csv(path)
-            rows = raw_b(table.select("*", _batch_id()).withColumn("date", F.col("date").cast("string")).select(*(c for c in table.columns if c not in ("source", "date")), "batch_id", _ordinal(number)))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+            table = reader.options(header=True, quote='"', escape='"', multiLine=True, mode="FAILFAST", emptyValue="", nullValue="\u0000").csv(paths)
+            rows = table.select("*", _batch_id()).withColumn("date", F.col("date").cast("string")).select(*(c for c in table.columns if c not in ("source", "date")), "batch_id", _ordinal(number))
+            found.append(raw_b(spread(rows)))
+    return both(found) if found else None
+
+
+def both(feeds: list[DataFrame]) -> DataFrame:
+    """All rows of raw feeds, repeats included."""
+    return reduce(DataFrame.unionByName, feeds)
+
+
+def date_label(at: Column) -> Column:
+    """The day of a time, as partitions are labelled: 2026-01-31."""
+    return F.date_format(at, "yyyy-MM-dd")

@@ -40,9 +40,20 @@ def read_json(path: str, default: object = None) -> object:
         return default
 
 
-def names(path: str, suffix: str = "") -> list[str]:
+def names(path: str, suffix: str = "", folders: bool = False) -> list[str]:
+    """Names of the files (or folders) in a folder; none if there is no such folder."""
     from pyarrow import fs
 
     store, at = store_of(path)
+    kind = fs.FileType.Directory if folders else fs.FileType.File
     found = store.get_file_info(fs.FileSelector(at, allow_not_found=True))
-    return sorted(f.base_name for f in found if f.type == fs.FileType.File and f.base_name.endswith(suffix))
+    return sorted(f.base_name for f in found if f.type == kind and f.base_name.endswith(suffix))
+
+
+def remove(path: str) -> None:
+    """Deletes a folder and what is in it, if it is there."""
+    from pyarrow import fs
+
+    store, at = store_of(path)
+    if store.get_file_info(at).type == fs.FileType.Directory:
+        store.delete_dir(at)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import vin as V
 from ..functions.jsnum import js_round
 from ..functions.spelling import dollars, dollars_quebec, km_to_miles, trim_variants
-from ..schemas import FRENCH
+from ..schemas import FRENCH, SOURCE_A, SOURCE_B
 
 #: WMI, VDS, plant, make, model, body, fuel, trims, first and last year, base price.
 SEEDS = [
@@ -55,6 +55,7 @@ CITIES = [
     ("AB", "Calgary", 51.0447, -114.0719), ("AB", "Edmonton", 53.5461, -113.4938),
     ("MB", "Winnipeg", 49.8951, -97.1384), ("SK", "Regina", 50.4452, -104.6189), ("NS", "Halifax", 44.6488, -63.5752), ("NB", "Moncton", 46.0878, -64.7782),
 ]
+#: Colours outside and inside.
 EXTERIOR = ["Black", "White", "Grey", "Silver", "Blue", "Red"]
 INTERIOR = ["Black", "Grey", "Beige"]
 #: Fault rates, and what chaos multiplies them by and caps them at.
@@ -175,9 +176,14 @@ def write(spark: SparkSession, out_dir: str, chaos: bool = False, rows_per_file:
     """Both sources' files below out_dir: plain NDJSON and CSV, at most rows_per_file rows each."""
     a, b = listings(spark, **options)
     seed, rate = options.get("seed", 42), rates(chaos)
-    for name, suffix, df, first in (("dealer-feed-a", "ndjson", source_a(a, seed, rate), 0), ("marketplace-b", "csv", source_b(b, seed, rate), options.get("count_a", 650_000))):
-        files = df.withColumn("_batch", F.floor((F.col("row") - first) / rows_per_file).cast("int"))
-        files.groupBy("_batch").applyInArrow(_file(out_dir, name, suffix), "path string").collect()
+    write_feed(source_a(a, seed, rate), out_dir, SOURCE_A, rows_per_file)
+    write_feed(source_b(b, seed, rate), out_dir, SOURCE_B, rows_per_file, options.get("count_a", 650_000))
+
+
+def write_feed(df: DataFrame, out_dir: str, source: str, rows_per_file: int = 50_000, first: int = 0) -> None:
+    """Files of a source, one for each rows_per_file numbers from `first` on: lines of `value` for A, a header and the columns for B, by `row`."""
+    files = df.withColumn("_batch", F.floor((F.col("row") - first) / rows_per_file).cast("int"))
+    files.groupBy("_batch").applyInArrow(_file(out_dir, source, "ndjson" if source == SOURCE_A else "csv"), "path string").collect()
 
 
 def _file(out_dir: str, name: str, suffix: str):

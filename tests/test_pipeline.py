@@ -35,6 +35,44 @@ def test_landing_repeats_and_counts(spark, lake):
     assert bronze.read(spark, lake).count() == 2000 and bronze.read(spark, lake, "1999-01-01") is None
 
 
+def test_only_what_manifests_name_is_read(spark, tmp_path):
+    root, feed = str(tmp_path), tmp_path / "data"
+    feed.mkdir()
+    for i, n in enumerate((2, 3, 0)):
+        (feed / f"batch-{i}.ndjson").write_text('{"vin":"v"}\n' * n)
+    assert bronze.land(spark, str(feed), root, "dealer-feed-a", "d1")["totalRows"] == 5
+    (feed / "batch-1.ndjson").unlink()
+    assert bronze.land(spark, str(feed), root, "dealer-feed-a", "d1")["totalRows"] == 2
+    assert bronze.read(spark, root).count() == 2 and len(list(tmp_path.glob("bronze/source=*/date=d1/*.gz"))) == 3
+
+
+def test_appends_leave_what_is_there(spark, tmp_path, monkeypatch):
+    from forecourt.sources import store as S
+
+    monkeypatch.setattr(S, "MOST_FOLDERS", 3)
+    store = S.Store(spark, str(tmp_path))
+    row = lambda i: spark.createDataFrame([("v", str(i), i, None)], "vin string, listing_id string, price_cents long, observed_at timestamp")
+    folders = []
+    for i in range(5):
+        store.append(price_history=row(i))
+        folders.append(store.current()["price_history"])
+        assert sorted(r.price_cents for r in store.table("price_history").collect()) == list(range(i + 1))
+    assert [len(f) for f in folders] == [1, 2, 3, 1, 2] and folders[1][:1] == folders[0] and folders[2][:2] == folders[1]
+    store.write("price_history", row(9))
+    assert len(store.vacuum()) == 4 and store.vacuum() == []
+    assert store.table("price_history").count() == 5
+
+
+def test_shared_folder_is_asked_for_on_clusters():
+    from types import SimpleNamespace as N
+
+    from forecourt.sources import staging
+
+    conf = N(get=lambda *_: None)
+    with pytest.raises(ValueError):
+        staging.shared_dir(N(conf=conf, sparkContext=N(getConf=lambda: conf, master="spark://host:7077", applicationId="a")))
+
+
 def test_replay_changes_nothing(spark, lake):
     assert pipeline.run(spark, lake, reference_year=2026, observed_at="2026-01-02 00:00:00")
     store = Store(spark, f"{lake}/silver")
@@ -43,6 +81,7 @@ def test_replay_changes_nothing(spark, lake):
     pipeline.run(spark, lake, "2026-01-01", reference_year=2026, observed_at="2026-01-03 00:00:00")
     assert key() == before
     assert store.table("listings").count() > 1500 and "dedupe" in pipeline.report(spark, lake)
+    assert not list(Path(f"{lake}/silver/staging").glob("*"))
     g = pipeline.refresh_gold(spark, lake)
     assert g["gold_market_stats"].count() > 100 and g["gold_price_drops"].count() == 0
 
@@ -71,7 +110,7 @@ def test_typed_json_and_quoted_csv(spark, tmp_path):
     for s, n in (("dealer-feed-a", 2), ("marketplace-b", 2)):
         m = Path(root, f"bronze/_manifest/source={s}")
         m.mkdir(parents=True)
-        m.joinpath("date=d1.json").write_text(json.dumps({"source": s, "date": "d1", "batches": [{"key": "k", "rows": n}], "totalRows": n, "totalObjects": 1}))
+        m.joinpath("date=d1.json").write_text(json.dumps({"source": s, "date": "d1", "batches": [{"key": f"bronze/source={s}/date=d1/x.{'ndjson' if s == 'dealer-feed-a' else 'csv'}.gz", "rows": n}], "totalRows": n, "totalObjects": 1}))
     rows = bronze.read(spark, root).orderBy("ordinal").collect()
     f = [r.f for r in rows]
     assert [tuple(x.price) for x in f] == [("1500", "number"), ("1500", "string"), ("1,5", "string"), ("", "string")]
