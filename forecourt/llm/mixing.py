@@ -8,10 +8,15 @@ target, to the word, cut into as many equal blocks as it has slots. A source wit
 than `LEAST_TURNS` slots takes its target in that many smaller blocks instead, spread
 evenly over the schedule, whose slots then hold a block of it besides their own. Any
 stretch of the schedule then holds the sources in nearly their target shares.
+
+Sources are rows of a table, however many they are; the driver gets sums over them, and
+the sources with so many slots that they are drawn one by one.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,26 +29,58 @@ SLOTS = 1 << 16
 GOLDEN = (5**0.5 - 1) / 2
 #: Blocks of a source at least, if its target has as many words.
 LEAST_TURNS = 64
-#: Sources that may be told apart; their totals are the only thing the driver gathers.
-MAX_SOURCES = 1_000_000
+#: Sources of fewer slots than this on average have not `LEAST_TURNS` of them: golden-ratio points are spread too evenly.
+FEW = 48
 ADDED = ("_size", "_source_size", "_target", "_taken", "_slots")
 
 
-def targets(sizes: list[int], weights: list[float], share: float, cap: float) -> list[float]:
-    """Shares of share * sum(sizes) by weight; none above cap times its size, the excess reshared by weight."""
-    total, open_, out = share * sum(sizes), set(range(len(sizes))), [0.0] * len(sizes)
-    while open_:
-        weight = sum(weights[i] for i in open_)
-        over = {i for i in open_ if total * weights[i] / weight > cap * sizes[i]}
-        if not over:
-            for i in open_:
-                out[i] = total * weights[i] / weight
+def source_goals(found: DataFrame, weights, share: float, cap: float) -> DataFrame:
+    """found (_name, _n) with _id, its place by code points, null last, _target and _words, the target in whole words.
+
+    Targets are shares of share * sum(_n) by weight, none above cap * _n, the excess reshared
+    by weight: every source below its cap gets the same number of words for a weight. That
+    number is raised until no further source is at its cap.
+    """
+    ranked = running_sums(found.withColumn("_one", F.lit(1).cast("long")), [F.col("_name").isNull(), F.col("_name")], "_one")
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("_rank") % len(weights) + 1).cast("int"))
+    table = written(ranked.select("_name", "_n", F.col("_rank").alias("_id"), weight.alias("_weight")), "weighed")
+    sums = table.agg(F.sum("_n"), F.sum("_weight")).first()
+    total, capped = share * (sums[0] or 0), 0
+    each = total / (sums[1] or 1)
+    while True:
+        full = F.col("_n") * cap < F.col("_weight") * each
+        some = table.agg(F.count_if(full), F.sum(F.when(full, F.col("_n") * cap)), F.sum(F.when(~full, F.col("_weight")))).first()
+        if some[0] == capped:
             break
-        for i in over:
-            out[i] = float(cap * sizes[i])
-        total -= sum(out[i] for i in over)
-        open_ -= over
-    return out
+        capped, each = some[0], (total - some[1]) / some[2] if some[2] else math.inf
+    most = F.col("_n") * cap
+    target = F.when(most < F.col("_weight") * each, most).otherwise(F.col("_weight") * each).cast("double")
+    out = table.withColumn("_target", target).withColumn("_words", F.least(F.rint("_target").cast("long"), F.floor(most).cast("long")))
+    return written(out.drop("_weight"), "goals")
+
+
+def schedule(goals: DataFrame, slots: int) -> tuple[DataFrame, DataFrame, int]:
+    """The goals with _turns and, for sources whose slots are not drawn one by one, _offset; the drawn slots (_of, _nth, _slot); and how many slots there are."""
+    spark = goals.sparkSession
+    grand = goals.agg(F.sum("_words")).first()[0] or 0
+    used = grand // max(1, grand // slots)
+    many = running_sums(goals.select("_id", "_words"), [F.col("_id")], "_words").where(F.col("_words") * F.lit(used / max(grand, 1)) >= FEW)
+    many = sorted((r._start, r._words, r._id) for r in many.collect())  # at most used / FEW of them
+    starts, sizes = (np.array([r[i] for r in many], np.float64) for i in (0, 1))
+    point = (np.arange(used) + 0.5) * GOLDEN % 1 * grand
+    at = np.searchsorted(starts, point, side="right") - 1
+    met = np.flatnonzero((at >= 0) & (point < starts[at] + sizes[at])) if many else np.zeros(0, np.int64)
+    drawn = np.bincount(at[met], minlength=len(many)) if many else np.zeros(0, np.int64)
+    met = met[np.argsort(at[met], kind="stable")]
+    nth = np.arange(len(met)) - np.repeat(np.cumsum(drawn) - drawn, drawn)
+    plan = [(many[a][2], n, slot) for a, n, slot in zip(at[met].tolist(), nth.tolist(), met.tolist(), strict=True) if drawn[a] >= LEAST_TURNS]
+    plan = written(spark.createDataFrame(plan, "_of long, _nth long, _slot long"), "schedule", files=1)
+    dense = plan.groupBy(F.col("_of").alias("_dense")).agg(F.count("*").alias("_drawn"))
+    out = goals.join(F.broadcast(dense), F.col("_id") == F.col("_dense"), "left").select(
+        "_name", "_id", F.col("_n").alias("_source_size"), "_target", "_words", F.coalesce("_drawn", F.least("_words", F.lit(LEAST_TURNS).cast("long"))).alias("_turns"),
+        F.when(F.col("_drawn").isNull(), (F.col("_id") + 1) * GOLDEN % 1).alias("_offset"),
+    )
+    return written(out, "targets"), plan, used
 
 
 def word_count(col) -> object:
@@ -56,54 +93,33 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0
 
     docs needs doc_id, text and source. Sources, in order of code points and null
     last, weigh as `weights` says, repeating. _taken is how many of the row's words the
-    mix takes, repeats counted; over a source they sum up to its target, rounded. _slots are the slots in which the row's first word is scheduled: where
-    the mix emits the whole row. The same rows give the same mix. Rows without words
+    mix takes, repeats counted; over a source they sum up to its target, rounded. _slots are
+    the slots in which the row's first word is scheduled: where the mix emits the whole row. The same rows give the same mix. Rows without words
     take part with size 0 (_slots as for their place); repeated rows are rows of their
     own, in either order; an empty table gives an empty result. Added names get further
     underscores where docs has them already.
     """
-    spark = docs.sparkSession
     kept = carry or docs.columns
     names = fresh(docs, *(f"_c{i}" for i in range(len(kept))))
     of = dict(zip(kept, names, strict=True))
     crc = F.crc32(F.coalesce(docs["text"].cast("binary"), F.lit(b"")))
     own = docs.select(*(docs[f"`{c}`"].alias(n) for c, n in of.items()), word_count(docs["text"]).alias("_size"), crc.alias("_text"))
-    found = written(own.groupBy(F.col(of["source"]).alias("_name")).agg(F.sum("_size").alias("_n")), "sources", files=1)
-    if found.count() > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    rows = sorted(found.collect(), key=lambda r: (r[0] is None, (r[0] or "").encode("utf-32-be", "surrogatepass")))
-    sizes = [r[1] for r in rows]
-    goals = targets(sizes, [weights[i % len(weights)] for i in range(len(rows))], share, cap) if rows else []
-    words = [min(round(goal), int(cap * size)) for goal, size in zip(goals, sizes, strict=True)]
-
-    # The schedule, a bounded table: source, turn, the slot that it has.
-    block = max(1, int(sum(goals) // slots))
-    used = int(sum(goals) // block)
-    bounds = np.cumsum(goals) / sum(goals) if used else np.ones(1)
-    at = np.searchsorted(bounds, (np.arange(used) + 0.5) * GOLDEN % 1, side="right")
-    at = np.minimum(at, max(len(rows) - 1, 0))
-    drawn = np.bincount(at, minlength=len(rows)).tolist()
-    dense = [n >= LEAST_TURNS for n in drawn]
-    turns = [n if d else min(w, LEAST_TURNS) for n, d, w in zip(drawn, dense, words, strict=False)]
-    by_source = np.argsort(at, kind="stable")
-    turn = np.arange(used) - np.repeat(np.cumsum(drawn) - drawn, drawn).astype(np.int64)
-    plan = [x for x in zip(at[by_source].tolist(), turn.tolist(), by_source.tolist(), strict=True) if dense[x[0]]]
-    plan = written(spark.createDataFrame(plan, "_of long, _nth long, _slot long"), "schedule", files=1)
-    schema = f"_name {docs.schema['source'].dataType.simpleString()}, _id long, _source_size long, _target double, _words long, _turns long, _offset double"
-    offsets = [None if d else (i + 1) * GOLDEN % 1 for i, d in enumerate(dense)]
-    sources = [(r[0], i, r[1], goals[i], words[i], turns[i], offsets[i]) for i, r in enumerate(rows)]
-    sources = written(spark.createDataFrame(sources, schema), "targets", files=1)
-
-    # At most MAX_SOURCES rows and 2 * SLOTS rows: both are broadcast.
-    joined = own.join(F.broadcast(sources), F.col(of["source"]).eqNullSafe(F.col("_name"))).drop("_name")
+    if carry:  # texts are measured once; the measures are read again for the sums, the ranges and the rows
+        own = written(own, "measured")
+    found = written(own.groupBy(F.col(of["source"]).alias("_name")).agg(F.sum("_size").alias("_n")), "sources")
+    goals = source_goals(found, weights, share, cap)
+    sources, plan, used = schedule(goals, slots)
+
+    # Sources are broadcast if Spark finds their table small; the schedule has at most 2 * SLOTS rows.
+    joined = own.join(sources, F.col(of["source"]).eqNullSafe(F.col("_name"))).drop("_name")
     order = [F.xxhash64(F.col(of["doc_id"]), F.lit(seed)), F.col(of["doc_id"]), F.col("_text")]
     out = running_sums(joined, order, "_size", "_id")
     full = F.expr("_words div greatest(_source_size, 1)")
     rest = F.expr("_words % greatest(_source_size, 1)")
     part = F.least(F.col("_start") + F.col("_size"), rest) - F.least(F.col("_start"), rest)
     out = out.withColumn("_taken", full * F.col("_size") + part)
-    passes = max((-(-w // n) for w, n in zip(words, sizes, strict=True) if n), default=0)
-    for i in range(passes):  # 2, as the cap is
+    passes = math.ceil(cap)
+    for i in range(passes):
         # Rows without words at a source's end are placed with its last word.
         first = f"{i} * _source_size + least(_start, greatest(_source_size - 1, 0))"
         out = out.withColumn(f"_turn{i}", F.expr(f"CASE WHEN {first} < _words THEN ({first}) * _turns div greatest(_words, 1) END"))
