@@ -68,7 +68,10 @@ BATCH_ROWS = 500
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the session's Arrow batches, if they are larger, for plans that pass texts to Python."""
+    """Bounds the session's Arrow batches, if they are larger, for plans that pass texts to Python.
+
+    The setting stays: a plan takes it when it runs, which is after the operator has returned.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, BATCH_ROWS)

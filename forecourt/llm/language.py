@@ -28,7 +28,7 @@ MAX_ROWS = 1500
 
 
 def _folding() -> np.ndarray:
-    """For each code point of the basic plane: itself in lower case if it is a letter (or a mark within words), else a blank."""
+    """For each code point of the basic plane: itself in lower case if it is a letter, else a blank."""
     table = np.full(1 << 16, 32, np.int64)
     for c in range(1 << 16):
         if not 0xD800 <= c < 0xE000 and (s := chr(c)).isalpha():

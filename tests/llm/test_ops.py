@@ -118,6 +118,34 @@ def test_language_ignores_lang_and_source_of_what_it_predicts(spark, real):
     assert a == b
 
 
+def brute_grams(text):
+    """Bucket of every character 1- to 3-gram of the folded text, one by one."""
+    low = lambda c: (c.lower() if len(c.lower()) == 1 else c) if ord(c) < 1 << 16 and c.isalpha() else c if ord(c) >= 1 << 16 else " "
+    t = " " + re.sub(" +", " ", "".join(map(low, text)) + " ").lstrip(" ")
+    for i in range(len(t)):
+        h = 0
+        for n in range(1, 4):
+            if i + n <= len(t):
+                h = (h * 0x100000001B3 + ord(t[i + n - 1]) + n) % 2**64
+                yield (h * 0x9E3779B97F4A7C15 % 2**64) >> 49
+
+
+def test_language_scores_are_dot_products(spark, real, odd):
+    m = language.fit(real)
+    some = real.limit(40).union(odd.select(real.columns).withColumn("doc_id", F.col("doc_id") + 10**6)).union(docs(spark, "𐐀 😀x", "ÄÖ ü", "İ", ids=[-1, -2, -3]))
+    got = {(r.doc_id, r.text): r for r in language.identify(some, m).join(some.select("doc_id", "text"), "doc_id").collect()}
+    assert len(got) > 40
+    for (_, text), r in got.items():
+        if not text or not any(map(str.isalpha, text)):
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        b = list(brute_grams(text))
+        logits = sum(n * m.weights[k].astype(float) for k, n in Counter(b).items()) / len(b) + m.bias
+        p = np.exp((logits - logits.max()) / m.heat)
+        assert r.lang_pred == m.names[int(p.argmax())], (r, text[:50])
+        assert r.score == pytest.approx(p.max() / p.sum(), abs=1e-6)
+
+
 def test_language_never_learns_from_held_out_rows(spark, real):
     spoiled = real.withColumn("lang", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, "zz").otherwise(F.col("lang")))
     a, b = language.fit(real), language.fit(spoiled)
@@ -374,10 +402,61 @@ def test_shards_of_odd_texts(spark, odd):
 # 5. Mixing
 
 
-def test_targets():
-    assert mixing.targets([100, 100, 100], [3, 1, 2], 1.5, 2) == pytest.approx([200, 250 / 3, 500 / 3])
-    assert mixing.targets([10, 1000], [3, 1], 1.5, 2) == pytest.approx([20, 1495])
-    assert mixing.targets([0, 0], [3, 1], 1.5, 2) == [0, 0] and mixing.targets([], [], 1.5, 2) == []
+def brute_targets(sizes, weights=(3, 1, 2), share=1.5, cap=2.0):
+    """Shares by weight; what a source cannot take is shared again by those that can."""
+    out, left, open_ = [0.0] * len(sizes), share * sum(sizes), set(range(len(sizes)))
+    weigh = lambda i: weights[i % len(weights)]
+    while open_:
+        each = left / sum(map(weigh, open_))
+        over = [i for i in open_ if each * weigh(i) > cap * sizes[i]]
+        for i in over or open_:
+            out[i] = cap * sizes[i] if over else each * weigh(i)
+        if not over:
+            break
+        left -= sum(out[i] for i in over)
+        open_ -= set(over)
+    return out
+
+
+@pytest.mark.parametrize("sizes", [[100, 100, 100], [10, 1000], [0, 0], [5], [0, 7, 3, 1, 10**9, 12, 4000], []])
+def test_targets(spark, sizes):
+    found = spark.createDataFrame([(f"s{i}" if i + 1 < len(sizes) else None, n) for i, n in enumerate(sizes)], "_name string, _n long")
+    got = sorted((r._id, r._target, r._words) for r in mixing.source_goals(found, (3, 1, 2), 1.5, 2.0).collect())
+    want = brute_targets(sizes)
+    assert [g[1] for g in got] == pytest.approx(want) and all(abs(w - t) <= 0.5 for _, t, w in got)
+
+
+def test_taken_words_are_brute_force(spark, real):
+    """Each source's documents in their shuffled order, from the first again, until the target is reached to the word."""
+    d = real.union(docs(spark, None, "", "one two", "x " * 5000, ids=[900_000, 900_001, None, 900_003], sources={900_000: "tiny", 900_001: "none", None: None, 900_003: None}))
+    rows = {(r.doc_id, r.source): r for r in mixing.mix(d).collect()}
+    order = d.select("doc_id", "source", F.xxhash64("doc_id", F.lit(17)).alias("place"), "text").collect()
+    names = sorted({r.source for r in order if r.source is not None}) + [None]
+    words = {k: len(WORD.findall(r.text or "")) for r in order for k in [(r.doc_id, r.source)]}
+    sizes = [sum(n for (_, s), n in words.items() if s == name) for name in names]
+    for name, size, target in zip(names, sizes, brute_targets(sizes), strict=True):
+        own = sorted((r for r in order if r.source == name), key=lambda r: (r.place, r.doc_id))
+        left, taken = min(round(target), 2 * size), Counter()
+        while left and size:
+            for r in own:
+                n = min(left, words[r.doc_id, name])
+                taken[r.doc_id] += n
+                left -= n
+        for r in own:
+            got = rows[r.doc_id, name]
+            assert (got._size, got._source_size, got._taken) == (words[r.doc_id, name], size, taken[r.doc_id]) and got._target == pytest.approx(target)
+
+
+def test_thousands_of_sources_meet_their_targets(spark):
+    n = lambda i: 1 + int(20_000 / (i + 1) ** 0.8)
+    d = spark.range(5000).selectExpr("id AS doc_id", "CASE WHEN id = 7 THEN NULL ELSE concat('s', lpad(id, 5, '0')) END AS source", "repeat('w ', int(1 + 20000 / pow(id + 1, 0.8))) AS text")
+    rows = {r.doc_id: r for r in mixing.mix(d, carry=["doc_id", "source"]).collect()}
+    ids = [i for i in range(5000) if i != 7] + [7]
+    want = dict(zip(ids, brute_targets([rows[i]._size for i in ids]), strict=True))
+    assert len(rows) == 5000 and rows[3]._size == n(3)
+    for i, r in rows.items():
+        assert r._target == pytest.approx(want[i]) and abs(r._taken - r._target) <= 0.5 and r._taken <= 2 * r._size
+        assert bool(r._slots) == (r._taken > 0)
 
 
 def test_mix_meets_targets(spark, real):
@@ -386,7 +465,7 @@ def test_mix_meets_targets(spark, real):
     assert again == {(r.doc_id, r._taken, tuple(r._slots)) for r in rows}
     names = sorted({r.source for r in rows})
     sizes = {s: sum(r._size for r in rows if r.source == s) for s in names}
-    want = dict(zip(names, mixing.targets([sizes[s] for s in names], [(3, 1, 2)[i % 3] for i in range(len(names))], 1.5, 2), strict=True))
+    want = dict(zip(names, brute_targets([sizes[s] for s in names]), strict=True))
     for s in names:
         own = [r for r in rows if r.source == s]
         assert {r._source_size for r in own} == {sizes[s]} and own[0]._target == pytest.approx(want[s])
@@ -638,6 +717,36 @@ def test_quality_of_odd_tables(spark, odd):
     assert quality.classify(empty(spark), labels).count() == 0 and quality.keep_good(odd, labels).columns == odd.columns
 
 
+def brute_features(text):
+    """Buckets of the word and shape n-grams, one word after the other."""
+    size, odd, mask = 64 - quality.BITS, 0x9E3779B97F4A7C15, 2**64 - 1
+    words, shapes, before = [1], [1 << 20, 1 << 20], 1
+    mark = lambda b: not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128)
+    for w in re.findall(rb"[^\x20\x09-\x0d]+", text):
+        h = sum((b + 32 if 65 <= b <= 90 else b) * pow(odd, j, 2**64) + pow(odd, j, 2**64) for j, b in enumerate(w)) & mask
+        m, u = sum(map(mark, w)), sum(65 <= b <= 90 for b in w)
+        case = 0 if u == 0 else 1 if u == 1 else 2 if u + m >= len(w) else 3
+        shape = ((case * 256 + (w[-1] if mark(w[-1]) else 0)) * 4 + min(m, 3)) * 4 + min(max(len(w) - m, 0) // 4, 3)
+        words.append(h)
+        shapes.append(shape + (h == before) * (1 << 16))
+        before = h
+    for i in range(1, len(words)):
+        two = (shapes[i] * (1 << 21) + shapes[i + 1]) & mask
+        for salt, key in enumerate((words[i], words[i - 1] * 3 & mask ^ words[i], shapes[i + 1], two, (shapes[i - 1] * (1 << 42) + two) & mask)):
+            yield ((((key + salt + 1) * odd & mask) ^ (key >> 29)) * 0xD6E8FEB86659FD93 & mask) >> size
+
+
+def test_quality_scores_are_dot_products(spark, real, odd):
+    m = quality.fit(real, spark.read.parquet(f"{SF}/labels.parquet"))
+    some = real.limit(40).union(odd.select(real.columns).withColumn("doc_id", F.col("doc_id") + 10**6).where("length(text) < 1000 or text is null")).union(docs(spark, "THE cat!! the the THE, é-é ...", ids=[-1]))
+    got = quality.classify(some, real.limit(0), m).join(some.select("doc_id", "text"), "doc_id").collect()
+    assert len(got) > 45
+    for r in got:
+        b = list(brute_features((r.text or "").encode()))
+        logit = quality.GAIN * sum(float(m.weights[k]) for k in b) / max(1, len(b)) + m.bias
+        assert r.score == pytest.approx(1 / (1 + math.exp(-logit)), abs=1e-6) and r.predicted == int(r.score >= 0.5)
+
+
 def test_quality_never_learns_from_held_out_rows(spark, real):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     flipped = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, 1 - F.col("quality")).otherwise(F.col("quality")))
