@@ -21,7 +21,7 @@ from .common import small_batches, utf8, written
 
 #: Distinct pre-tokens that are broadcast at most; a bound on memory, not on results.
 HEAD = 1 << 18
-#: Rows, about, from which the head is taken.
+#: Rows, about, from which the head is taken at most.
 SAMPLE_ROWS = 20_000
 #: Distinct pre-tokens that a task gathers before it passes them on.
 FLUSH = 1 << 19
@@ -139,10 +139,10 @@ def pre_token_pieces(vocabulary: DataFrame, path: str) -> DataFrame:
 
 
 def head_of(docs: DataFrame, path: str, head: int, rows: int = SAMPLE_ROWS) -> tuple[list[str], list[int]]:
-    """The most frequent pre-tokens, at most `head`, of about `rows` documents chosen by hash, and their pieces."""
+    """The most frequent pre-tokens, at most `head`, of about `rows` documents or a tenth of all, chosen by hash, and their pieces."""
     n = docs.count()
     place = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1) / F.lit(2.0**63)
-    some = docs.where(place < rows / n) if n > rows else docs
+    some = docs.where(place < min(rows / max(n, 1), 0.1))
     counted = some.select("text").mapInArrow(_vocabulary(path), "pre_token string, n long").groupBy("pre_token").agg(F.sum("n").alias("n"))
     top = frequent(pre_token_pieces(counted, path), head).select("pre_token", "pieces").toArrow()
     return top.column(0).to_pylist(), top.column(1).to_pylist()
