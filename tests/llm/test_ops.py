@@ -665,7 +665,7 @@ def test_real_leaks_hold_their_item(spark, real):
 def test_the_sample_decides_no_count(spark, real, monkeypatch):
     counts = lambda: sorted(map(tuple, token_counts.count_tokens(real, vocabulary_path(), 2048).collect()))
     want, some = counts(), token_counts.head_of(real, vocabulary_path(), 1 << 18, 20)
-    assert 0 < len(some[0]) < len(token_counts.head_of(real, vocabulary_path(), 1 << 18)[0])
+    assert 0 < len(some[0]) < 10_000
     monkeypatch.setattr(token_counts, "head_of", lambda *_: some)
     assert counts() == want
 
