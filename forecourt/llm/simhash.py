@@ -65,12 +65,11 @@ def majority_bits(hashes: np.ndarray) -> int:
     """The 64-bit number whose bits are set in over half of the hashes; 0 for none."""
     if not len(hashes):
         return 0
-    # eight byte lanes are summed at once, in runs of at most 255, so that no lane overflows
-    runs, lanes, counts = np.arange(0, len(hashes), 255), np.uint64(0x0101010101010101), np.empty(64, np.int64)
-    for bit in range(8):
-        sums = np.add.reduceat((hashes >> np.uint64(bit)) & lanes, runs)
-        counts[bit::8] = sums.astype("<u8").view(np.uint8).reshape(-1, 8).sum(0, dtype=np.int64)
-    return int(sum(1 << i for i in np.flatnonzero(2 * counts > len(hashes)).tolist()))
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 4096):  # each bit becomes a byte: in pieces, so that long texts need little memory
+        some = hashes[at : at + 4096].astype("<u8").view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(some, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), "little")
 
 
 def word_names(words: int) -> list[str]:
