@@ -1,4 +1,4 @@
-"""python -m forecourt COMMAND: generate, extract, pipeline (or replay), gold, report, bench-queries."""
+"""python -m forecourt COMMAND: schema, generate, extract, pipeline (or replay), gold, report, bench-queries, vacuum."""
 
 from __future__ import annotations
 
@@ -34,7 +34,8 @@ def main(argv: list[str] | None = None) -> None:
         r = sub.add_parser(name)
         r.add_argument("--date")
         r.add_argument("--referenceYear", type=int)
-    sub.add_parser("gold")
+    for name in ("schema", "gold", "vacuum"):
+        sub.add_parser(name)
     m = sub.add_parser("report")
     m.add_argument("--run")
     b = sub.add_parser("bench-queries")
@@ -56,6 +57,10 @@ def main(argv: list[str] | None = None) -> None:
             print(f"{source}: {m['totalObjects']} objects, {m['totalRows']} rows")
     elif a.command in ("pipeline", "replay"):
         print(pipeline.run(spark, root, a.date, a.referenceYear) or "Nothing to process.")
+    elif a.command == "schema":
+        print("Made:", ", ".join(Store(spark, f"{root}/silver").ensure_tables()) or "nothing")
+    elif a.command == "vacuum":
+        print("Deleted:", len(Store(spark, f"{root}/silver").vacuum()))
     elif a.command == "gold":
         for name, df in pipeline.refresh_gold(spark, root).items():
             print(name, df.count())

@@ -356,6 +356,17 @@ def store_append(spark, sf_dir):
     return store.table("price_history").groupBy("listing_id").agg(F.count("*").alias("n"), F.sum("price_cents").alias("cents"))
 
 
+def ensure_tables(spark, sf_dir):
+    """Silver tables made where one is there already: columns and rows of each."""
+    store = Store(spark, new_folder(spark, "silver"))
+    store.commit(price_history=Views(spark, sf_dir).history().withColumn("observed_at", F.col("observed_at").cast("timestamp")))
+    store.ensure_tables()
+    store.ensure_tables()
+    counts = quality.table_counts({name: store.table(name) for name in store.current()})
+    columns = spark.createDataFrame([(name, len(store.table(name).columns)) for name in store.current()], "table_name string, columns long")
+    return counts.join(columns, "table_name")
+
+
 def cached_prefixes(spark, sf_dir):
     """Cache rows of the prefixes that a run asks for."""
     s = Steps(spark, sf_dir)
@@ -426,6 +437,6 @@ NAMES = [
     quarantine_hash, quarantine_age, rejection_rate, parse_price, odometer_units, trim_canonical, normalized, french_names, spellings, survivors, completeness_score, decode_misses, enrich_vehicles, enrich_listings,
     enrich_metrics, listing_keys, upsert_listings, upsert_vehicles, backfill, dup_conflict, price_outliers, completeness, stage_rollup, latest_run, run_metrics, table_counts, both_sources, manifest_rollup,
     cached_prefixes, date_label, outlier_rows, gold_market_stats, price_outliers_3s, landed_batches, bronze_read, bronze_read_date, lake_run, lake_gold, stream_ingest, store_append, seed_decode, broken_vins,
-    generated_rows, formatted_measures,
+    generated_rows, formatted_measures, ensure_tables,
 ]
 QUERIES = {f.__name__: f for f in NAMES}

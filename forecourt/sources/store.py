@@ -70,6 +70,16 @@ class Store:
                     gone.append(f"{name}/{folder}")
         return gone
 
+    def ensure_tables(self) -> list[str]:
+        """Makes the silver tables that are not there yet, empty, and gives their names.
+
+        Tables that are there stay as they are. Columns that a schema has gained since are
+        null in their old folders, so there is nothing else to migrate.
+        """
+        missing = [name for name in SILVER if name not in self.current()]
+        self.commit(**{name: self.spark.createDataFrame([], SILVER[name][0]) for name in missing})
+        return missing
+
     def stage(self, name: str, df: DataFrame) -> DataFrame:
         """df, written once beside the tables and read back."""
         return staged(df, name, self.root)
