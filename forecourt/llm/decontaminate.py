@@ -2,7 +2,8 @@
 
 Words of benchmark items and documents are hashed; every run of `MATCH` words that a
 document shares with an item is a seed (a broadcast hash join: the items are handled
-in blocks of at most `BLOCK_WORDS` words, so what is broadcast is bounded). Where the seeds
+in blocks of at most `BLOCK_WORDS` words, so what is broadcast is bounded; if there are
+several, a Bloom filter of all seeds first sets apart the documents that may hold any). Where the seeds
 could reach the threshold, the item is tiled: the longest common run of words that no
 tile covers yet becomes a tile, again and again (running Karp-Rabin: the longest length at
 which equal rolling hashes are left is searched by halving, and all of that length are tiled
@@ -29,6 +30,8 @@ MATCH = 5
 COVERAGE = 0.8
 #: Benchmark words that are broadcast at once.
 BLOCK_WORDS = 1 << 20
+#: Bits of the filter of seeds at most.
+MOST_BITS = 1 << 30
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -199,6 +202,71 @@ class Items:
         return out
 
 
+class Bloom:
+    """A set of seeds that may say yes wrongly, never no; at most `MOST_BITS`, whatever the number of seeds."""
+
+    def __init__(self, bits: int):
+        self.mask = np.uint64((1 << max(10, min(MOST_BITS, bits).bit_length() - 1)) - 1)
+        self.bytes, self.sizes = np.zeros((int(self.mask) + 1) // 8, np.uint8), set()
+
+    def _places(self, seeds: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Byte and bit of each of the four probes."""
+        at = (seeds ^ np.uint64(n)) * np.uint64(0xD6E8FEB86659FD93)
+        step = (at >> np.uint64(32)) | np.uint64(1)
+        for _ in range(4):
+            at = at + step
+            spot = (at >> np.uint64(20)) & self.mask
+            yield (spot >> np.uint64(3)).astype(np.int64), np.uint8(1) << (spot & np.uint64(7)).astype(np.uint8)
+
+    def add(self, seeds: np.ndarray, n: int) -> None:
+        self.sizes.add(n)
+        for byte, bit in self._places(seeds, n):
+            np.bitwise_or.at(self.bytes, byte, bit)
+
+    def any(self, doc: np.ndarray) -> bool:
+        """Whether any run of the document's words may be a seed."""
+        for n in self.sizes:
+            maybe = np.ones(max(0, len(doc) - n + 1), bool)
+            for byte, bit in self._places(rolling(doc, n), n):
+                maybe &= self.bytes[byte] & bit > 0
+            if maybe.any():
+                return True
+        return False
+
+
+def seeds_of(items: DataFrame, blocks: int, least: int, n_bytes: int) -> Bloom:
+    """The seeds of all items (item_id, text, block), gathered block by block."""
+    bloom = Bloom(4 * n_bytes)
+    for k in range(blocks):
+        for n, (seeds, *_) in Items(_rows(items, k), least).seeds.items():
+            bloom.add(np.unique(seeds), n)
+    return bloom
+
+
+def _rows(items: DataFrame, block: int) -> list[tuple]:
+    return sorted((tuple(r) for r in items.where(F.col("block") == block).select("item_id", "text").collect()), key=lambda r: (r[0] is None, r))
+
+
+def _in_blocks(benchmark: DataFrame, block_words: int) -> tuple[DataFrame, int, int]:
+    """The items, dealt to blocks by hash, with the number of blocks and of bytes. A block's words, and so its bytes, are bounded by the longest text besides."""
+    own = benchmark.select("item_id", utf8("text").alias("text")).where("text is not null").distinct()
+    n = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-n // (6 * block_words)))
+    return written(own.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks))), "items"), blocks, n
+
+
+def _may_hold(shared, wanted: bool):
+    """The rows whose text may hold a seed, or the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, bloom = Words(), shared.value
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).cast(pa.binary())
+            yield batch.filter(pa.array([bloom.any(words.hashes(t.as_py())) == wanted for t in texts], pa.bool_()))
+
+    return run
+
+
 def _find(shared, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, items = Words(), Items(*shared.value)
@@ -228,18 +296,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least: int = MATCH, cov
     """
     spark = docs.sparkSession
     small_batches(spark)
-    own = benchmark.select("item_id", utf8("text").alias("text")).where("text is not null").distinct()
-    # Items are dealt to blocks by hash; a block's words, and so its bytes, are bounded by the longest text besides.
-    n = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-n // (6 * block_words)))
-    own = written(own.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks))), "items", files=1)
+    own, blocks, n = _in_blocks(benchmark, block_words)
     kind = docs.schema["doc_id"].dataType.simpleString()
     item_type = benchmark.schema["item_id"].dataType
     schema = f"doc_id {kind}, item_id {item_type.simpleString()}, covered long, words long, tiles array<struct<doc_at long, item_at long, words long>>"
     source, found = docs.select("doc_id", utf8("text").alias("text")), None
+    if blocks > 1:
+        bloom = spark.sparkContext.broadcast(seeds_of(own, blocks, least, n))
+        source = written(source.mapInArrow(_may_hold(bloom, True), source.schema), "candidates")
     for k in range(blocks):
-        rows = sorted((tuple(r) for r in own.where(F.col("block") == k).select("item_id", "text").collect()), key=lambda r: (r[0] is None, r))
-        part = source.mapInArrow(_find(spark.sparkContext.broadcast((rows, least, coverage)), to_arrow_type(item_type)), schema)
+        part = source.mapInArrow(_find(spark.sparkContext.broadcast((_rows(own, k), least, coverage)), to_arrow_type(item_type)), schema)
         part = part if blocks == 1 else written(part, "found")
         found = part if found is None else found.union(part)
     return found
@@ -258,12 +324,13 @@ def _keep(shared):
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = MATCH, coverage: float = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of docs, all columns as they are, in which no item is found (see `contamination`); null texts stay."""
-    small_batches(docs.sparkSession)
-    own = benchmark.select("item_id", utf8("text").alias("text")).where("text is not null").distinct()
-    n = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-n // (6 * block_words)))
+    spark = docs.sparkSession
+    small_batches(spark)
+    own, blocks, n = _in_blocks(benchmark, block_words)
+    some = docs
+    if blocks > 1:
+        bloom = spark.sparkContext.broadcast(seeds_of(own, blocks, least, n))
+        some = written(docs.mapInArrow(_may_hold(bloom, True), docs.schema), "candidates")
     for k in range(blocks):
-        part = own.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        rows = sorted((tuple(r) for r in part.collect()), key=lambda r: (r[0] is None, r))
-        docs = docs.mapInArrow(_keep(docs.sparkSession.sparkContext.broadcast((rows, least, coverage))), docs.schema)
-    return docs
+        some = some.mapInArrow(_keep(spark.sparkContext.broadcast((_rows(own, k), least, coverage))), docs.schema)
+    return some if blocks == 1 else docs.mapInArrow(_may_hold(bloom, False), docs.schema).union(some)
