@@ -623,8 +623,21 @@ def test_contamination_is_brute_force(spark):
     want = {(i, k): f for i, t in enumerate(texts) for k, x in items if (f := brute_found(t, x))}
     got = {(r.doc_id, r.item_id): (r.covered, r.words, sorted(map(tuple, r.tiles))) for r in decontaminate.contamination(docs(spark, *texts), bench).collect()}
     assert got == want and len(want) > 20
-    kept = {r.doc_id for r in decontaminate.without_contaminated(docs(spark, *texts), bench).collect()}
-    assert kept == set(range(len(texts))) - {i for i, _ in want}
+    for block_words in (decontaminate.BLOCK_WORDS, 20):  # in one block, and in several with a filter before them
+        kept = decontaminate.without_contaminated(docs(spark, *texts), bench, block_words=block_words)
+        assert sorted(r.doc_id for r in kept.collect()) == sorted(set(range(len(texts))) - {i for i, _ in want})
+    some = decontaminate.contamination(docs(spark, *texts), bench, block_words=20)
+    assert {(r.doc_id, r.item_id): (r.covered, r.words, sorted(map(tuple, r.tiles))) for r in some.collect()} == want
+
+
+def test_filter_of_seeds_misses_none():
+    rng, bloom = np.random.default_rng(6), decontaminate.Bloom(1 << 14)
+    seeds = rng.integers(0, 2**63, 500).astype(np.uint64)
+    items = [rng.integers(0, 2**63, 9).astype(np.uint64) for _ in range(60)]
+    for x in items:
+        bloom.add(decontaminate.rolling(x, 5), 5)
+    assert all(bloom.any(np.concatenate((seeds[:7], x[2:7], seeds[7:9]))) for x in items) and not bloom.any(seeds[:4])
+    assert sum(bloom.any(seeds[i : i + 5]) for i in range(495)) < 25
 
 
 def test_leaks_are_found_in_any_order(spark):
