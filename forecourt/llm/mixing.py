@@ -103,17 +103,20 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0
     names = fresh(docs, *(f"_c{i}" for i in range(len(kept))))
     of = dict(zip(kept, names, strict=True))
     crc = F.crc32(F.coalesce(docs["text"].cast("binary"), F.lit(b"")))
-    own = docs.select(*(docs[f"`{c}`"].alias(n) for c, n in of.items()), word_count(docs["text"]).alias("_size"), crc.alias("_text"))
+    own = docs.select(*(docs[f"`{c}`"].alias(n) for c, n in of.items()), crc.alias("_text"), docs["text"].alias("_body"))
+    count = word_count(F.col("_body"))
     if carry:  # texts are measured once; the measures are read again for the sums, the ranges and the rows
-        own = written(own, "measured")
-    found = written(own.groupBy(F.col(of["source"]).alias("_name")).agg(F.sum("_size").alias("_n")), "sources")
+        own = written(own.withColumn("_size", count).drop("_body"), "measured")
+    sized = own if carry else own.withColumn("_size", count)
+    found = written(sized.groupBy(F.col(of["source"]).alias("_name")).agg(F.sum("_size").alias("_n")), "sources")
     goals = source_goals(found, weights, share, cap)
     sources, plan, used = schedule(goals, slots)
 
     # Sources are broadcast if Spark finds their table small; the schedule has at most 2 * SLOTS rows.
+    own = own if carry else own.drop("_body")
     joined = own.join(sources, F.col(of["source"]).eqNullSafe(F.col("_name"))).drop("_name")
     order = [F.xxhash64(F.col(of["doc_id"]), F.lit(seed)), F.col(of["doc_id"]), F.col("_text")]
-    out = running_sums(joined, order, "_size", "_id")
+    out = running_sums(joined, order, "_size", "_id", None if carry else word_count(F.col(of["text"])))
     full = F.expr("_words div greatest(_source_size, 1)")
     rest = F.expr("_words % greatest(_source_size, 1)")
     part = F.least(F.col("_start") + F.col("_size"), rest) - F.least(F.col("_start"), rest)

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
@@ -45,23 +45,26 @@ def _local_sums(group_at: int | None, size_at: int):
     return run
 
 
-def running_sums(df: DataFrame, order: list, size: str, group: str | None = None) -> DataFrame:
+def running_sums(df: DataFrame, order: list, size: str, group: str | None = None, measure: Column | None = None) -> DataFrame:
     """df with _start and _rank: the sum of `size` and the number of rows before each row, within its group.
 
     Rows are dealt into ranges of (group, *order) and sorted there; the sums go on from
     range to range by the ranges' totals, of which there is one row per range and
     group. `group` and `size` are longs without nulls. No task gets more than one range,
-    whatever the groups' sizes. The rows are written once to the shared folder, so that
+    whatever the groups' sizes. If df lacks `size`, `measure` gives it, and only for the sorted
+    rows: finding the ranges computes all columns of df once more. The rows are written once to the shared folder, so that
     every later step sees the same ranges.
     """
     spark = df.sparkSession
     small_batches(spark)
     keys = [F.col(group), *order] if group else order
-    ranged = df.repartitionByRange(partitions(spark), *keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id().cast("long"))
+    ranged = df.repartitionByRange(partitions(spark), *keys).sortWithinPartitions(*keys)
+    ranged = ranged if measure is None else ranged.withColumn(size, measure)
+    ranged = ranged.withColumn("_part", F.spark_partition_id().cast("long"))
     schema = StructType(list(ranged.schema.fields))
     for name in ("_start", "_rank"):
         schema = schema.add(name, LongType())
-    sums = written(ranged.mapInArrow(_local_sums(df.columns.index(group) if group else None, df.columns.index(size)), schema), "ranges", files=max(files_for(df), FILES, partitions(spark) // 4))  # rows may be wide: a task writes few ranges
+    sums = written(ranged.mapInArrow(_local_sums(ranged.columns.index(group) if group else None, ranged.columns.index(size)), schema), "ranges", files=max(files_for(df), FILES, partitions(spark) // 4))  # rows may be wide: a task writes few ranges
     by = [*([F.col(group).alias("_of")] if group else [F.lit(0).cast("long").alias("_of")]), F.col("_part").alias("_at")]
     totals = sums.groupBy(*by).agg(F.sum(size).alias("_size"), F.count("*").alias("_rows"))
     from pyspark.sql import Window
