@@ -14,9 +14,8 @@ def desc(col: str | Column) -> Column:
     return (F.col(col) if isinstance(col, str) else col).desc_nulls_first()
 
 
-def rounded_mean(col: Column) -> Column:
-    """avg(col)::bigint of a whole-number column: exact, halves away from zero."""
-    total, n = F.sum(col), F.count(col)
+def rounded_ratio(total: Column, n: Column) -> Column:
+    """(total / n)::bigint of whole numbers: exact, halves away from zero; null if n is 0."""
     sign = F.signum(total).cast("long")
     double = F.abs(total) * 2 + n
     return F.when(n > 0, sign * F.floor(double.cast("decimal(38,0)") / F.nullif(n * 2, F.lit(0)).cast("decimal(20,0)")).cast("long"))

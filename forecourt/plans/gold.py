@@ -5,32 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.pg import asc, desc, rounded_mean, whole
+from ..functions.pg import asc, desc, rounded_ratio, whole
+from ..operators.medians import with_medians
 
 
-def _stats(listings: DataFrame, *measures: Column) -> DataFrame:
-    live = listings.where("status = 'active' and price_cents is not null and make is not null")
-    return live.groupBy("make", "model", "model_year", "province").agg(*measures)
+GROUP = ["make", "model", "model_year", "province"]
+
+
+def _stats(listings: DataFrame) -> DataFrame:
+    """Active priced listings of a make by group: n, total, low, high (the middle prices), n_also and total_also (of kilometres)."""
+    return with_medians(listings.where("status = 'active' and price_cents is not null and make is not null"), GROUP, "price_cents", "odometer_km")
 
 
 def market_cents(listings: DataFrame) -> DataFrame:
     """Counts, mean and median price in cents (the median doubled, so that it is whole), mean kilometres."""
-    return _stats(
-        listings, F.count("*").alias("listing_count"), rounded_mean(F.col("price_cents")).alias("avg_price_cents"),
-        js_twice(F.percentile("price_cents", 0.5)).alias("median_price_cents_x2"), rounded_mean(F.col("odometer_km")).alias("avg_odometer_km"),
+    return _stats(listings).select(
+        *GROUP, F.col("n").alias("listing_count"), rounded_ratio(F.col("total"), F.col("n")).alias("avg_price_cents"), (F.col("low") + F.col("high")).alias("median_price_cents_x2"),
+        rounded_ratio(F.col("total_also"), F.col("n_also")).alias("avg_odometer_km"),
     )
 
 
-def js_twice(col: Column) -> Column:
-    return F.round(col * 2).cast("long")
-
-
 def market_stats(listings: DataFrame) -> DataFrame:
     """gold_market_stats: prices in dollars with two places."""
-    dollars = lambda c: F.round(c.cast("decimal(38,6)") / 100, 2).cast("decimal(20,2)")
-    mean = F.sum("price_cents").cast("decimal(38,0)") / F.count("price_cents")
-    return _stats(
-        listings, F.count("*").alias("listing_count"), dollars(mean).alias("avg_price_cad"), dollars(F.percentile("price_cents", 0.5)).alias("median_price_cad"), rounded_mean(F.col("odometer_km")).alias("avg_odometer_km")
+    dollars = lambda total, n: F.round(total.cast("decimal(38,0)") / n / 100, 2).cast("decimal(20,2)")
+    return _stats(listings).select(
+        *GROUP, F.col("n").alias("listing_count"), dollars(F.col("total"), F.col("n")).alias("avg_price_cad"), dollars(F.col("low") + F.col("high"), F.lit(2)).alias("median_price_cad"),
+        rounded_ratio(F.col("total_also"), F.col("n_also")).alias("avg_odometer_km"),
     )
 
 
@@ -55,8 +55,9 @@ def browse(listings: DataFrame, make: str | None, model: str | None, years: tupl
 
 def make_stats(listings: DataFrame, make: str, n: int = 20) -> DataFrame:
     """The largest groups of one make, with mean and median as whole cents."""
-    own = _stats(listings.where(F.col("make") == make), F.count("*").alias("n"), rounded_mean(F.col("price_cents")).alias("avg_price_cents"), whole(F.percentile("price_cents", 0.5)).alias("median_price_cents"))
-    return own.orderBy(desc("n"), *(asc(c) for c in ("make", "model", "model_year", "province"))).limit(n)
+    mean, median = rounded_ratio(F.col("total"), F.col("n")), whole((F.col("low") + F.col("high")) / 2)
+    own = _stats(listings.where(F.col("make") == make)).select(*GROUP, "n", mean.alias("avg_price_cents"), median.alias("median_price_cents"))
+    return own.orderBy(desc("n"), *(asc(c) for c in GROUP)).limit(n)
 
 
 def vin_history(listings: DataFrame, history: DataFrame, vin: Column | None = None) -> DataFrame:

@@ -67,7 +67,7 @@ class Steps:
 
 
 def market_stats(spark, sf_dir):
-    return gold.market_cents(Views(spark, sf_dir).listing())
+    return gold.market_cents(Views(spark, sf_dir).dealt_listing())
 
 
 def browse_topk(spark, sf_dir):
@@ -81,12 +81,12 @@ def browse_wide(spark, sf_dir):
 
 def gold_market_stats(spark, sf_dir):
     """The gold table itself, its dollars as cents."""
-    out = gold.market_stats(Views(spark, sf_dir).listing())
+    out = gold.market_stats(Views(spark, sf_dir).dealt_listing())
     return out.withColumns({c: (F.col(c) * 100).cast("long") for c in ("avg_price_cad", "median_price_cad")})
 
 
 def make_stats_topk(spark, sf_dir):
-    return gold.make_stats(Views(spark, sf_dir).listing(), MAKE, 20)
+    return gold.make_stats(Views(spark, sf_dir).dealt_listing(), MAKE, 20)
 
 
 def vin_history(spark, sf_dir):

@@ -87,7 +87,7 @@ def test_postgres_rules(spark):
     df = spark.createDataFrame([(1,), (None,), (2,)], "x int")
     assert [r.x for r in df.orderBy(pg.asc("x")).collect()] == [1, 2, None]
     assert [r.x for r in df.orderBy(pg.desc("x")).collect()] == [None, 2, 1]
-    assert df.agg(pg.rounded_mean(F.col("x"))).first()[0] == 2
+    assert [values(spark, [(t, n)], pg.rounded_ratio(F.col("t"), F.col("n")), "t long, n long")[0] for t, n in ((3, 2), (-3, 2), (4, 3), (5, 0), (None, 0))] == [2, -2, 1, None, None]
     assert values(spark, [2.5, 3.5], pg.whole(F.col("x")), "x double") == [2, 4]
 
 

@@ -1,6 +1,9 @@
+import random
+from statistics import median
+
 from pyspark.sql import functions as F
 
-from forecourt.operators import enrich, quality, survivorship, upsert
+from forecourt.operators import enrich, medians, quality, survivorship, upsert
 from forecourt.plans import gold
 from forecourt.schemas import SILVER
 
@@ -122,6 +125,34 @@ def test_market_stats_keep_null_groups_and_interpolate(spark):
     assert (row.listing_count, str(row.avg_price_cad), str(row.median_price_cad), row.avg_odometer_km) == (2, "1.51", "1.51", 13)
 
 
+def test_medians_are_brute_force(spark):
+    draw = random.Random(5)
+    sizes = {"a": 4000, "b": 7, None: 100, "one": 1, "even": 2}
+    rows = [(k, "x" if k else None, int(draw.choice((1, -1)) * 10 ** draw.uniform(0, 12)) if draw.random() < 0.7 else 5000, draw.choice((None, 3, 4))) for k, n in sizes.items() for _ in range(n)]
+    rows += [("a", "x", None, 9), ("none", "x", None, 1), ("bits", None, 2047, None), ("bits", None, 2048, None), ("zero", None, 0, 1), ("zero", None, -1, 1)]
+    got = medians.with_medians(spark.createDataFrame(rows, "k string, g string, v long, a int"), ["k", "g"], "v", "a").collect()
+    want = {}
+    for k, g, v, a in rows:
+        if v is not None:
+            want.setdefault((k, g), []).append((v, a))
+    assert {(r.k, r.g) for r in got} == set(want) and len(got) == len(want)
+    for r in got:
+        values, also = [v for v, _ in want[r.k, r.g]], [a for _, a in want[r.k, r.g] if a is not None]
+        assert (r.low + r.high) / 2 == median(values), r
+        assert (r.n, r.total, r.n_also, r.total_also) == (len(values), sum(values), len(also), sum(also) if also else None)
+
+
+def test_bins_are_in_order(spark):
+    numbers = [*range(-5000, 5000), *(s * (1 << e) + d for e in range(12, 62) for s in (1, -1) for d in (-1, 0, 1))]
+    df = spark.createDataFrame([(x,) for x in sorted(set(numbers))], "v long").select("v", medians.bin_of("v").alias("bin"))
+    bins = [r.bin for r in df.orderBy("v").collect()]
+    assert bins == sorted(bins)
+
+
+def test_medians_of_nothing(spark):
+    assert medians.with_medians(spark.createDataFrame([], "k string, v long, a long"), ["k"], "v", "a").collect() == []
+
+
 def test_price_drops_guard_against_zero(spark):
     h = spark.createDataFrame([("v", "l", 0, "2026-01-01"), ("v", "l", -5, "2026-01-02"), ("v", "l", -5, "2026-01-03"), ("v", "l", -10, "2026-01-04")], "vin string, listing_id string, price_cents long, observed_at string").withColumn("observed_at", F.to_timestamp("observed_at"))
     got = [(r.price_drop_cents, None if r.price_drop_pct is None else float(r.price_drop_pct)) for r in gold.price_drops(h).orderBy("current_observed_at").collect()]
