@@ -1,4 +1,4 @@
-"""python -m forecourt COMMAND: schema, generate, extract, pipeline (or replay), gold, report, bench-queries, vacuum."""
+"""python -m forecourt COMMAND: schema, generate, extract, pipeline (or replay), gold, report, bench-queries, bench-load, vacuum."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import time
 from datetime import datetime, timezone
 
 from . import pipeline
-from .plans import gold
+from .plans import gold, load
 from .schemas import SOURCES
 from .session import session
 from .sources import bronze, generator
@@ -40,6 +40,9 @@ def main(argv: list[str] | None = None) -> None:
     m.add_argument("--run")
     b = sub.add_parser("bench-queries")
     b.add_argument("--label", default="run")
+    o = sub.add_parser("bench-load")
+    o.add_argument("--n", type=int, default=200)
+    o.add_argument("--asOf", default=datetime.now(timezone.utc).strftime("%Y-%m-%d"))
     a = p.parse_args(argv)
     from os.path import abspath
 
@@ -64,6 +67,8 @@ def main(argv: list[str] | None = None) -> None:
     elif a.command == "gold":
         for name, df in pipeline.refresh_gold(spark, root).items():
             print(name, df.count())
+    elif a.command == "bench-load":
+        print(load.benchmark(spark, a.n, a.asOf))
     elif a.command == "report":
         print(pipeline.report(spark, root, a.run))
     else:

@@ -207,6 +207,7 @@ ORACLES: dict[str, str] = {
         {_rounded('odometer_km')} AS avg_odometer_km FROM staged WHERE status1 = 'active' AND price_cents IS NOT NULL AND vehicle_make IS NOT NULL GROUP BY ALL""",
     "stream_ingest": f"WITH {_in_lake(CHECKED)} SELECT CASE WHEN r1 IS NULL AND r2 IS NULL THEN 'normal' ELSE 'rejected' END AS table_name, count(*) AS n FROM checked WHERE source = 'dealer-feed-a' GROUP BY 1",
     "ensure_tables": "SELECT * FROM (VALUES ('vehicles', 0, 15), ('listings', 0, 22), ('quarantine', 0, 7), ('pipeline_runs', 0, 12), ('quality_metrics', 0, 5), ('decode_cache', 0, 12), ('price_history', (SELECT count(*) FROM events), 4)) t(table_name, n, columns)",
+    "load_both_ways": "SELECT r_regionkey, r_name, unnest(['benchmark_bulk', 'benchmark_single']) AS load FROM region",
     "store_append": f"WITH {HISTORY} SELECT listing_id, count(*) + count(*) FILTER (WHERE price_cents > 5000) AS n, CAST(sum(price_cents) + coalesce(sum(price_cents) FILTER (WHERE price_cents > 5000), 0) AS BIGINT) AS cents FROM history GROUP BY listing_id",
     "seed_decode": f"""WITH seeds(i, make, model, body_style, fuel_type, low, high) AS (VALUES {", ".join(f"({i}, '{s[3]}', '{s[4]}', '{s[5]}', '{s[6]}', {s[8]}, {s[9]})" for i, s in enumerate(generator.SEEDS))})
         SELECT o_orderkey, i IS NOT NULL AS valid, make, model, CAST(low + o_orderkey % (high - low + 1) AS INT) AS year, body_style, fuel_type FROM orders LEFT JOIN seeds ON o_custkey % {len(generator.SEEDS) + 1} = i""",

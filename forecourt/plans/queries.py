@@ -15,7 +15,7 @@ from ..sources import bronze, generator
 from ..sources.staging import new_folder, staged
 from ..sources.store import Store
 from ..streaming.ingest import ingest
-from . import gold, lake, views
+from . import gold, lake, load, views
 from .views import Views
 
 YEAR = 2026
@@ -356,6 +356,14 @@ def store_append(spark, sf_dir):
     return store.table("price_history").groupBy("listing_id").agg(F.count("*").alias("n"), F.sum("price_cents").alias("cents"))
 
 
+def load_both_ways(spark, sf_dir):
+    """All regions loaded in bulk and row by row, in one table each."""
+    store = Store(spark, new_folder(spark, "load"))
+    load.loaded(store, Views(spark, sf_dir).table("region"))
+    both = [store.table(name).withColumn("load", F.lit(name)) for name in (load.BULK, load.SINGLE)]
+    return both[0].unionByName(both[1])
+
+
 def ensure_tables(spark, sf_dir):
     """Silver tables made where one is there already: columns and rows of each."""
     store = Store(spark, new_folder(spark, "silver"))
@@ -437,6 +445,6 @@ NAMES = [
     quarantine_hash, quarantine_age, rejection_rate, parse_price, odometer_units, trim_canonical, normalized, french_names, spellings, survivors, completeness_score, decode_misses, enrich_vehicles, enrich_listings,
     enrich_metrics, listing_keys, upsert_listings, upsert_vehicles, backfill, dup_conflict, price_outliers, completeness, stage_rollup, latest_run, run_metrics, table_counts, both_sources, manifest_rollup,
     cached_prefixes, date_label, outlier_rows, gold_market_stats, price_outliers_3s, landed_batches, bronze_read, bronze_read_date, lake_run, lake_gold, stream_ingest, store_append, seed_decode, broken_vins,
-    generated_rows, formatted_measures, ensure_tables,
+    generated_rows, formatted_measures, ensure_tables, load_both_ways,
 ]
 QUERIES = {f.__name__: f for f in NAMES}

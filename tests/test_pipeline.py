@@ -5,6 +5,7 @@ from pathlib import Path
 import pytest
 
 from forecourt import pipeline
+from forecourt.plans import load
 from forecourt.sources import bronze, generator
 from forecourt.sources.store import Store
 from forecourt.streaming.ingest import ingest
@@ -117,3 +118,15 @@ def test_typed_json_and_quoted_csv(spark, tmp_path):
     assert (tuple(f[0].model), tuple(f[0].year), tuple(f[0].trim), tuple(f[0].status)) == (("1500", "string"), (None, "null"), (None, "missing"), ("1", "boolean"))
     assert tuple(f[1].vin) == ("5", "number") and tuple(f[2].trim) == ('x "q" y', "string") and tuple(f[2].make) == (None, "missing")
     assert rows[0].batch_id == "bronze/source=dealer-feed-a/date=d1/x.ndjson.gz"
+
+
+def test_load_benchmark_leaves_no_tables(spark, tmp_path):
+    rows = load.generated(spark, 3, "2026-01-01")
+    store = Store(spark, f"file://{tmp_path}/silver")
+    took = load.loaded(store, store.stage("rows", rows))
+    assert all(seconds > 0 for seconds in took.values())
+    bulk, single = (sorted(map(tuple, store.table(name).collect())) for name in (load.BULK, load.SINGLE))
+    assert bulk == single and len(bulk) == 3
+    store.drop(load.BULK, load.SINGLE)
+    assert store.current() == {} and not (tmp_path / "silver" / load.SINGLE).exists()
+    assert [line.split(":")[0] for line in load.benchmark(spark, 2, "2026-01-01").splitlines()] == ["Bulk load", "Row by row", "Speedup"]
