@@ -80,7 +80,7 @@ def node_numbers(prints: np.ndarray) -> np.ndarray:
     """A 64-bit number for each row of words: a single word is its own number, several are hashed together."""
     out = prints[:, 0]
     for i in range(1, prints.shape[1]):
-        out = _mix(out, i) ^ (prints[:, i] * np.uint64(0x9E3779B97F4A7C15))
+        out = _mix64(out, i) ^ (prints[:, i] * np.uint64(0x9E3779B97F4A7C15))
     return out
 
 
