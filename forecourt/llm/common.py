@@ -42,12 +42,16 @@ def new_path(spark: SparkSession, name: str) -> str:
 FILES_PER_SLOT = 4
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of df's size: that of the files for a staged table."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def files_for(df: DataFrame) -> int:
     """Files to write df into: some for each task slot, and more where the optimizer's estimate has more bytes than the session reads in a task."""
     spark = df.sparkSession
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     unit = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    return max(FILES_PER_SLOT * spark.sparkContext.defaultParallelism, min(-(-size // unit), 1 << 20))
+    return max(FILES_PER_SLOT * spark.sparkContext.defaultParallelism, min(-(-estimated_bytes(df) // unit), 1 << 20))
 
 
 def written(df: DataFrame, name: str, files: int | None = None) -> DataFrame:

@@ -10,10 +10,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from .common import files_for, partitions, small_batches, written
+from .common import estimated_bytes, files_for, partitions, small_batches, written
 
 #: Ranges up to this number are written into a file each.
 FILES = 64
+#: Estimated bytes for which a range of its own is worth a task; tables of many take all of the session's partitions.
+RANGE_BYTES = 1 << 20
+
+
+def ranges_for(df: DataFrame) -> int:
+    """Ranges to deal df into: the session's partitions, or fewer for a small table."""
+    return min(partitions(df.sparkSession), -(-max(estimated_bytes(df), 1) // RANGE_BYTES))
 
 
 def _local_sums(group_at: int | None, size_at: int):
@@ -58,7 +65,7 @@ def running_sums(df: DataFrame, order: list, size: str, group: str | None = None
     spark = df.sparkSession
     small_batches(spark)
     keys = [F.col(group), *order] if group else order
-    ranged = df.repartitionByRange(partitions(spark), *keys).sortWithinPartitions(*keys)
+    ranged = df.repartitionByRange(ranges_for(df), *keys).sortWithinPartitions(*keys)
     ranged = ranged if measure is None else ranged.withColumn(size, measure)
     ranged = ranged.withColumn("_part", F.spark_partition_id().cast("long"))
     schema = StructType(list(ranged.schema.fields))

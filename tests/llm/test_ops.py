@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from forecourt.llm import decontaminate, ftrl, language, licenses, mixing, quality, sharding, simhash, token_counts, topk, warc
+from forecourt.llm import decontaminate, ftrl, language, licenses, mixing, prefix, quality, sharding, simhash, token_counts, topk, warc
 from forecourt.llm.queries import QUERIES, vocabulary_path
 
 SF = "/root/testdata/sf0.001"
@@ -882,3 +882,10 @@ def test_many_partitions_in_few_files(spark, real):
         assert scans(d) == scans(real)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_ranges_grow_with_the_table(spark, real, monkeypatch):
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert prefix.ranges_for(real) == most > 1
+    monkeypatch.setattr(prefix, "RANGE_BYTES", 1 << 40)
+    assert prefix.ranges_for(real) == prefix.ranges_for(real.limit(0)) == 1
