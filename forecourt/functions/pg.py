@@ -15,10 +15,13 @@ def desc(col: str | Column) -> Column:
 
 
 def rounded_ratio(total: Column, n: Column) -> Column:
-    """(total / n)::bigint of whole numbers: exact, halves away from zero; null if n is 0."""
+    """(total / n)::bigint of whole numbers: exact, halves away from zero; null if n is 0.
+
+    By `div`: a quotient of wide decimals is itself rounded to six places, and a ratio just below a half would come to one.
+    """
     sign = F.signum(total).cast("long")
     double = F.abs(total) * 2 + n
-    return F.when(n > 0, sign * F.floor(double.cast("decimal(38,0)") / F.nullif(n * 2, F.lit(0)).cast("decimal(20,0)")).cast("long"))
+    return F.when(n > 0, sign * F.call_function("div", double.cast("decimal(38,0)"), F.nullif(n * 2, F.lit(0)).cast("decimal(20,0)")))
 
 
 def whole(col: Column) -> Column:

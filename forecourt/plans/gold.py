@@ -34,12 +34,18 @@ def market_stats(listings: DataFrame) -> DataFrame:
     )
 
 
+def _drop_pct(drop: Column, previous: Column, places: int) -> Column:
+    """100 * drop / previous, rounded once, halves away from zero; null if the previous price is 0."""
+    units = rounded_ratio(F.signum(previous).cast("long") * drop.cast("decimal(20,0)") * 10 ** (2 + places), F.abs(previous.cast("decimal(20,0)")))
+    return (units.cast("decimal(20,0)") / 10**places).cast(f"decimal(20,{places})")
+
+
 def price_drops(history: DataFrame) -> DataFrame:
-    """gold_price_drops: every observation below the one before it, by listing."""
-    w = Window.partitionBy("listing_id").orderBy("observed_at")
+    """gold_price_drops: every observation below the one before it, by listing; unknown times last."""
+    w = Window.partitionBy("listing_id").orderBy(asc("observed_at"))
     rows = history.withColumns({"previous_price_cents": F.lag("price_cents").over(w), "previous_observed_at": F.lag("observed_at").over(w)})
     drop = F.col("previous_price_cents") - F.col("price_cents")
-    pct = F.round((drop * 100).cast("decimal(38,6)") / F.nullif("previous_price_cents", F.lit(0)).cast("decimal(20,0)"), 2).cast("decimal(20,2)")
+    pct = _drop_pct(drop, F.col("previous_price_cents"), 2)
     return rows.where("price_cents < previous_price_cents").select(
         "listing_id", "vin", "previous_price_cents", F.col("price_cents").alias("current_price_cents"), drop.alias("price_drop_cents"), pct.alias("price_drop_pct"), "previous_observed_at", F.col("observed_at").alias("current_observed_at")
     )
@@ -79,6 +85,6 @@ def recent(listings: DataFrame, province: str, n: int = 50) -> DataFrame:
 def largest_drops(history: DataFrame, n: int = 20) -> DataFrame:
     """The largest drops in percent, with one place; ties by VIN, listing and time."""
     rows = price_drops(history)
-    pct = F.round((F.col("price_drop_cents") * 100).cast("decimal(38,6)") / F.nullif("previous_price_cents", F.lit(0)).cast("decimal(20,0)"), 1).cast("decimal(20,1)")
+    pct = _drop_pct(F.col("price_drop_cents"), F.col("previous_price_cents"), 1)
     rows = rows.withColumn("pct_drop", pct).orderBy(desc("pct_drop"), "vin", "listing_id", "current_observed_at").limit(n)
     return rows.select("vin", F.col("previous_price_cents").alias("prev_price"), F.col("current_price_cents").alias("price_cents"), "pct_drop")

@@ -3,6 +3,7 @@ from statistics import median
 
 from pyspark.sql import functions as F
 
+from forecourt.functions.pg import rounded_ratio
 from forecourt.operators import enrich, medians, quality, survivorship, upsert
 from forecourt.plans import gold
 from forecourt.schemas import SILVER
@@ -159,5 +160,30 @@ def test_price_drops_guard_against_zero(spark):
     assert got == [(5, None), (5, -100.0)]
 
 
+def history(spark, *rows):
+    return spark.createDataFrame(list(rows), "vin string, listing_id string, price_cents long, observed_at string").withColumn("observed_at", F.to_timestamp("observed_at"))
+
+
+def test_price_drops_are_rounded_once(spark):
+    """92.55499975... and 33.3499999500... percent come to a half if they are cut to six places first."""
+    pairs = [(20591, 1533), (100003, 66652), (800, 799), (-800, -801), (90_000_000_000_000_000, 1)]
+    h = history(spark, *(("v", str(i), p, f"2026-01-0{d}") for i, pair in enumerate(pairs) for d, p in enumerate(pair, 1)))
+    got = [str(r.price_drop_pct) for r in gold.price_drops(h).orderBy("listing_id").collect()]
+    assert got == ["92.55", "33.35", "0.13", "-0.13", "100.00"]
+    top = {r.prev_price: str(r.pct_drop) for r in gold.largest_drops(h).collect()}
+    assert top == {20591: "92.6", 100003: "33.3", 800: "0.1", -800: "-0.1", 90_000_000_000_000_000: "100.0"}
+
+
+def test_price_drops_take_unknown_times_last(spark):
+    h = history(spark, ("v", "l", 7, None), ("v", "l", 10, "2026-01-01"), ("v", "l", 9, "2026-01-02"))
+    assert [(r.previous_price_cents, r.current_price_cents) for r in gold.price_drops(h).orderBy("price_drop_cents").collect()] == [(10, 9), (9, 7)]
+
+
+def test_rounded_ratio_of_many(spark):
+    """A ratio just below a half is not taken for one, however many it is shared by."""
+    df = spark.createDataFrame([(1_500_000, 3_000_001), (-1_500_000, 3_000_001), (1_500_001, 3_000_001), (5, 2), (-5, 2), (5, 0), (None, 3)], "t long, n long")
+    assert [r.x for r in df.select(rounded_ratio(F.col("t"), F.col("n")).alias("x")).collect()] == [0, 0, 1, 3, -3, None, None]
+
+
 def test_formats():
     assert [quality.formatted(x) for x in (3, 0.5, 2.25, 0)] == ["3", "50.00%", "2.25", "0"]
